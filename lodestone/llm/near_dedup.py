@@ -8,17 +8,20 @@
     within the first ``coords - matches + 1`` of each in any common order
     (prefix filter), so only those are posted.  The order puts frequent values
     last: those lists are skipped unless a document has nothing rarer.
-3.  Per list, one leader is paired with the others: pairs grow as the postings,
-    not as their squares.  Pairs whose sizes cannot reach the threshold go; for
-    the rest collisions over all coordinates are counted, and pairs with at
-    least ``matches`` are confirmed on the full shingle sets of both texts.
-4.  Confirmed links merge components.  Lists that still hold several components
-    get another leader; once few pairs are left, all of them between different
-    components are tried, so that no candidate is lost.  Pairs within one
-    component need no test.
-
-At the default 64 coordinates and 40 matches a pair at the threshold of 0.8 is
-a candidate with probability 0.9993 (binomial), one at 0.85 with 0.999998.
+3.  Lists are dealt to tasks with the signatures of their members.  First pass:
+    leaders within a list take the members that agree with them in at least
+    ``matches`` coordinates, so pairs grow as the postings, not their squares.
+    They are confirmed on the full shingle sets of both texts, and confirmed
+    links merge into components.
+4.  Second pass, over the lists that still hold several components: all pairs
+    of different components with enough collisions, each reported from its
+    first common list only, are confirmed and merged, so no candidate is lost.
+    Pairs within one component need no test.
+
+A long list is dealt in blocks of ``BLOCK`` members, a task per pair of blocks.
+
+At the default 96 coordinates and 64 matches a pair at the threshold of 0.8 is
+a candidate with probability 0.9995 (binomial), one at 0.85 with 0.9999999.
 
 The frequency table only orders values; it is cut at ``HEAVY`` entries, which
 bounds its broadcast and cannot lose a pair, since every document uses the same
@@ -44,11 +47,15 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, materialize, slices
 from .components import components
 
-COORDS, MATCHES, HEAVY = 64, 40, 200_000
+COORDS, MATCHES, HEAVY = 96, 64, 200_000
 #: Members that one task compares with a leader, at most.
 GROUP = 512
-#: Leader rounds before all pairs left are tried, whatever their number.
-ROUNDS = 8
+#: Members of a list that one task compares with each other or another block.
+BLOCK = 4096
+#: Leaders that a list tries in the first pass.
+LEADERS = 32
+#: Rows of (leader, member) ids that may be broadcast; beyond, a shuffle join.
+BROADCAST_ROWS = 1_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -141,51 +148,110 @@ def _frequent(reps: DataFrame, coords: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order].astype(np.int64), n[order].astype(np.int64)
 
 
-def _postings(reps: DataFrame, coords: int, matches: int) -> DataFrame:
-    """key, id, n: the prefix of each signature, rare values first."""
-    sent = reps.sparkSession.sparkContext.broadcast(_frequent(reps, coords))
-    size = coords - matches + 1
+def _prefix(keys: np.ndarray, heavy: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """Coordinates of the ``size`` rarest keys of each row."""
+    often = np.zeros(keys.shape, np.int64)
+    if len(heavy) and len(keys):
+        ix = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
+        often = np.where(heavy[ix] == keys, count[ix], 0)
+    mixed = ((keys.astype(np.uint64) * _M1) >> np.uint64(34)).astype(np.int64)
+    return np.argsort((np.minimum(often, 1 << 31) << 30) | mixed, axis=1, kind="stable")[:, :size]
+
+
+def _postings(reps: DataFrame, sent, coords: int, size: int) -> DataFrame:
+    """key, id: the prefix of each signature, rare values first."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, count = sent.value
         for batch in batches:
             for some in slices(batch, 4096):
-                keys = _keys(some.column(2), coords)
-                if not len(keys):
-                    continue
-                often = np.zeros(keys.shape, np.int64)
-                if len(heavy):
-                    ix = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
-                    often = np.where(heavy[ix] == keys, count[ix], 0)
-                mixed = ((keys.astype(np.uint64) * _M1) >> np.uint64(34)).astype(np.int64)
-                order = np.argsort((np.minimum(often, 1 << 31) << 30) | mixed, axis=1, kind="stable")[:, :size]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.take_along_axis(keys, order, 1).ravel()),
-                        pa.array(np.repeat(np.asarray(some.column(0)), size)),
-                        pa.array(np.repeat(np.asarray(some.column(1)), size)),
-                    ],
-                    names=["key", "id", "n"],
-                )
+                keys = _keys(some.column(1), coords)
+                if len(keys):
+                    order = _prefix(keys, *sent.value, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.take_along_axis(keys, order, 1).ravel()), pa.array(np.repeat(np.asarray(some.column(0)), size))],
+                        names=["key", "id"],
+                    )
 
-    return reps.select("doc_id", "n", "sig").mapInArrow(post, "key long, id long, n long")
+    return reps.select("doc_id", "sig").mapInArrow(post, "key long, id long")
 
 
-def _colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b, ...) whose signatures agree in at least ``matches`` coordinates."""
-    names = pairs.columns
-    both = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(
-        reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b"
-    )
+def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b, ca, cb) of members of a list that collide often enough.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``lists``: key, members, id, n, comp, sig.  Without ``every``, leaders and
+    what they take; with it, all pairs of different components, each from its
+    first common list.
+    """
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    dealt = lists.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))}).select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp", "sig"
+    )
+    size = coords - matches + 1
+    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "ca", "cb")])
+
+    def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = sent.value
+
+        def pairs(key: int, lo: int, hi: int, rows: tuple) -> list[np.ndarray]:
+            own, ids, n, comp, sig, mask = rows
+            if len(ids) < 2 or (comp == comp[0]).all():
+                return []
+            out = []
+
+            def report(i, js):
+                out.append(np.stack([np.full(len(js), ids[i]), ids[js], np.full(len(js), comp[i]), comp[js]]))
+
+            if not every:
+                left, tried = np.arange(len(ids)), 0
+                while len(left) > 1 and tried < LEADERS:
+                    i, rest = left[0], left[1:]
+                    near = fits(n[i], n[rest]) & ((sig[rest] == sig[i]).sum(axis=1) >= matches)
+                    report(i, rest[near])
+                    left, tried = rest[~near], tried + 1
+                return out
+            coord = key >> 32
+            for i in range(len(ids)):
+                js = np.arange(i + 1, len(ids))
+                js = js[(comp[js] != comp[i]) & fits(n[i], n[js]) & ((lo == hi) | (own[js] != own[i]))]
+                if len(js):
+                    same = sig[js] == sig[i]
+                    near = (same.sum(axis=1) >= matches) & ((same & mask[js] & mask[i]).argmax(axis=1) == coord)
+                    report(i, js[near])
+            return out
+
+        kept: list[tuple] = []
+        group = None
         for batch in batches:
-            *kept, left, right = batch.columns
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (left, right))
-                yield pa.RecordBatch.from_arrays(kept, names=names).filter(pa.array((x == y).sum(axis=1) >= matches))
-
-    return both.select(*names, "sa", "sb").mapInArrow(count, pairs.schema)
+            if not batch.num_rows:
+                continue
+            key, lo, hi, own, ids, n, comp = (np.asarray(batch.column(k)) for k in range(7))
+            keys = _keys(batch.column(7), coords)
+            sig = keys.astype(np.uint32)
+            mask = np.zeros(keys.shape, bool)
+            if every:
+                np.put_along_axis(mask, _prefix(keys, *heavy, size), True, 1)
+            new = np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            found: list[np.ndarray] = []
+            for x, y in zip([0, *new], [*new, len(key)], strict=True):
+                g, rows = (int(key[x]), int(lo[x]), int(hi[x])), tuple(c[x:y] for c in (own, ids, n, comp, sig, mask))
+                if g != group:
+                    if kept:
+                        found += pairs(*group, tuple(np.concatenate(c) for c in zip(*kept, strict=True)))
+                    group, kept = g, []
+                kept.append(rows)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], schema=schema)
+        if kept and (found := pairs(*group, tuple(np.concatenate(c) for c in zip(*kept, strict=True)))):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], schema=schema)
+
+    return (
+        dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+        .mapInArrow(meet, "a long, b long, ca long, cb long").distinct()
+    )
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -200,7 +266,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     rows = dealt.select("a", "part", F.col("b").alias("doc_id"), F.lit(1).alias("member")).unionByName(
         dealt.select("a", "part", F.col("a").alias("doc_id"), F.lit(0).alias("member")).distinct()
     )
-    texts = rows.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    if dealt.count() <= BROADCAST_ROWS // 2:  # at most a leader's row for each pair besides
+        rows = F.broadcast(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rows, "doc_id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,36 +301,25 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coords: i
         sigs.join(copies, "set_hash", "left").select("doc_id", "n", "sig", F.coalesce("rep", "doc_id").alias("rep")), "members"
     )
     reps = members.filter("n > 0 and doc_id = rep").select("doc_id", "n", "sig")
-    posted = _postings(reps, coords, matches)
-    shared = posted.groupBy("key").agg(F.count("*").alias("ids")).filter("ids > 1").select("key")
-    live = materialize(posted.join(shared, "key").select("key", "id", "n", F.col("id").alias("comp")), "lists")
-    labels = live.select("id", F.col("id").alias("comp")).distinct()
-    bound = 4 * reps.count() + 100_000
-    for turn in range(ROUNDS + 1):
-        mixed = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        live = materialize(live.join(mixed, "key"), "lists")
-        per_comp = live.groupBy("key", "comp").agg(F.count("*").cast("double").alias("c"))
-        left = per_comp.groupBy("key").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        last = left <= bound or turn == ROUNDS
-        if last:
-            other = live.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            met = other.join(live, "key").filter("a < id and ca <> comp")
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(reps, coords))
+    posted = materialize(_postings(reps, sent, coords, coords - matches + 1), "postings")
+    shared = materialize(posted.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "keys")
+    lists = materialize(posted.join(shared, "key"), "lists")
+    labels = materialize(lists.select("id", F.col("id").alias("comp")).distinct(), "labels")
+    signed = labels.select("id").join(reps.withColumnRenamed("doc_id", "id"), "id")
+    for every in (False, True):
+        mixed = lists
+        if every:
+            lists = lists.join(labels, "id")
+            several = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+            mixed = lists.join(several, "key")
         else:
-            first = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-            leaders = live.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), first).alias("x"))
-            met = live.join(leaders.select("key", "x.*"), "key").filter("a <> id and ca <> comp")
-        fit = F.expr(f"100 * least(n, na) >= {percent} * greatest(n, na)")
-        pairs = materialize(met.filter(fit).select("a", F.col("id").alias("b"), "ca", F.col("comp").alias("cb")).distinct(), "met")
-        likely = materialize(_colliding(pairs, reps, matches), "likely")
+            mixed = mixed.withColumn("comp", F.col("id"))
+        members_of = mixed.join(signed, "id").select("key", "members", "id", "n", "comp", "sig")
+        likely = materialize(_candidates(members_of, sent, coords, matches, percent, every), "likely")
         links = materialize(confirmed(likely, docs, k, percent), "links")
         found = materialize(components(likely.join(links, ["a", "b"]), "ca", "cb").withColumnRenamed("id", "comp"), "merged")
-        new = F.coalesce("component", "comp").alias("comp")
-        labels = materialize(labels.join(found, "comp", "left").select("id", new), "labels")
-        if last:
-            break
-        live = live.join(found, "comp", "left").select("key", "id", "n", new)
+        labels = materialize(labels.join(found, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "labels")
     out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id")
