@@ -1 +1 @@
-
+"""The predicate language, sort specifications, cardinality estimates, queries."""

@@ -1 +1 @@
-
+"""Catalog, tables, text loading and storage."""

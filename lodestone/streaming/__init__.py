@@ -1 +1 @@
-
+"""Pipelines over unbounded inputs."""
