@@ -3,16 +3,43 @@
 The tokenizers of this kind drop white space and never join characters across
 it, so the ids of a text are the ids of its pieces between spaces and newlines.
 ``CachedEncoder`` encodes each distinct piece once per worker (as long as its
-bounded cache holds it) and joins the stored bytes; ``tests/llm`` compares it
-with encoding whole texts.
+bounded cache holds it) and joins the stored bytes.  A piece of plain letters,
+with punctuation behind it or not, is one word to the pre-tokenizer and goes
+straight to the library's merge model; any other piece takes the library's
+whole path.  Where a tokenizer's own settings do not allow that, every piece
+does.  ``tests/llm`` compares the result with encoding whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
+#: Letters whose lower case and normal form are themselves single letters.
+_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level pre-tokenization writes a byte that is no printable Latin-1
+    character as the next code point from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _is_plain(tokenizer) -> bool:
+    """Lower-cases, splits letter runs off and maps bytes: no more."""
+    made = json.loads(tokenizer.to_str())
+    kinds = lambda part, key: [x["type"] for x in (made.get(part) or {}).get(key, [])]
+    split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
+    return (
+        made["model"]["type"] == "BPE" and kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"] and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in split
+    )
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -31,12 +58,40 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plain = _is_plain(self.tokenizer)
+        self.tails: dict[str, bytes] = {"": b""}
         self.end = int(end_id).to_bytes(4, "little")
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _whole(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._whole(pieces)
+        out: list[bytes | None] = [None] * len(pieces)
+        split, known, letters = self.model.tokenize, self.known, self.letters
+        other = []
+        for k, piece in enumerate(pieces):
+            m = _WORD.fullmatch(piece)
+            if m is None:
+                other.append(k)
+                continue
+            word, tail = m[1].lower(), m[2]
+            ids = known.get(word)
+            if ids is None:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                ids = known[word] = b"".join([t.id.to_bytes(4, "little") for t in split(shown)])
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._whole([tail])[0]
+            out[k] = ids + self.tails[tail]
+        for k, ids in zip(other, self._whole([pieces[k] for k in other]), strict=True):
+            out[k] = ids
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
