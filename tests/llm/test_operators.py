@@ -1,0 +1,354 @@
+"""Each operator and pipeline stage against a brute-force version, on rows with
+nulls, empty and long texts, ties, repeats, and clashing extra columns."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("lodestone.llm")
+
+import corpus_pipeline
+from lodestone.llm import (
+    chat, decontaminate, lm_score, near_dedup, packing, pii, quality_model, quality_rules, token_files, url_filter,
+)
+from lodestone.llm.common import scratch_path
+from lodestone.llm.tokens import CachedEncoder, default_tokenizer
+
+DATA = "/root/testdata/sf0.001"
+EXTRA = "sig string, key long, comp long, spans string, text2 string"
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", low(text))
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(120).collect()]
+    odd = ["", None, " \n\t ", "one", "Ab" * 3000, "a b " * 4000, base[5][1], base[5][1] + " tail", "a@b.c_d@e.f 1.2.3.4.5.6.7.8 +1 (234) 567-8901 x",
+           "4111 1111-1111 1111, 300.1.1.1 and 0000000.1.2.255", "tab\x0bcafé İstanbul <|endoftext|> don't!"]
+    return base + [(10_000 + k, t) for k, t in enumerate(odd)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    df = spark.createDataFrame([(i, t, "s", 1, 2, "x", "y") for i, t in rows], f"doc_id long, text string, {EXTRA}")
+    return df.repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def test_quality_rules(spark, rows, docs, nothing):
+    labels = spark.createDataFrame([(i, int("%" not in (t or "")), 0) for i, t in rows if i % 3], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.report(docs, labels).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        at = collections.defaultdict(list)
+        for k in range(len(w) - 2):
+            at[tuple(w[k : k + 3])].append(k)
+        rep = len({k + j for v in at.values() if len(v) > 1 for k in v for j in range(3)})
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[i]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), rep)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 50 or 100 * rep > 50 * len(w)) and (r.kept <= (not r.base_failed))
+    kept = quality_rules.filter_documents(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality_rules.filter_documents(nothing, labels).count() == 0
+    assert quality_rules.learn_rules(docs, labels.limit(0)).rules == []
+
+
+def test_decontamination(spark, rows, docs, nothing):
+    items = [("a", " ".join(words(rows[3][1])[2:30])), ("b", "one"), ("c", ""), ("d", None), ("e", rows[7][1][:300].upper())]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = collections.defaultdict(set)
+    for name, t in items:
+        w = find.findall(low(t))
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add(name)
+    want = {}
+    for i, t in rows:
+        w, hit, names = find.findall(low(t)), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    names |= found
+        want[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    for options in ({}, {"block_chars": 40}):
+        assert {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(docs, bench, **options).collect()} == want
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, x in want.items() if not x[4]}
+    assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontaminate.contamination(nothing, bench).count() == 0
+    index = decontaminate.build_index(spark.createDataFrame([(1, "x a q b c"), (2, "a b c"), (3, "c b")], "doc_id long, text string"), 3)
+    near = {(r.doc_id, r.position) for r in decontaminate.proximity_matches(index, [("p", "a b c")], 1).collect()}
+    assert {d for d, _ in near} == {1, 2}
+
+
+def encoded(rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_tokenizer())
+    return {i: e.ids + [2] for (i, _), e in zip(rows, t.encode_batch([x or "" for _, x in rows], add_special_tokens=False), strict=True)}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_tokens(spark, rows, docs, nothing):
+    ids = encoded(rows)
+    coder = CachedEncoder(default_tokenizer())
+    coder.LIMIT = 50
+    for i, t in rows:
+        assert coder.encode([t])[0] == np.array(ids[i], "<u4").tobytes()
+    at, want = 0, []
+    for i in sorted(ids):
+        want.append((i, at, len(ids[i]), crc(ids[i])))
+        at += len(ids[i])
+    assert sorted(map(tuple, token_files.round_trip(docs).collect())) == want
+    url = scratch_path(spark, "store")
+    manifest = token_files.write_store(docs, url)
+    assert token_files.read_manifest(url) == manifest and manifest["n_tokens"] == at
+    assert token_files.round_trip(nothing).count() == 0
+
+
+def test_packing(rows, docs, nothing):
+    ids = encoded(rows)
+    pieces = packing.pack(docs, max_segments=8).collect()
+    by, seqs = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        by[p.doc_id].append(p)
+        seqs[p.sequence_id].append(p)
+    assert set(by) == set(ids)
+    for i, ps in by.items():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids[i]) and p.ids_crc32 == crc(ids[i][at : at + p.length])
+            at += p.length
+        assert at == len(ids[i])
+    for ps in seqs.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 4096 and len(ps) <= 8 and at & (at - 1) == 0
+    assert packing.pack(nothing).count() == 0
+
+
+def test_packer_limits():
+    packer = packing.Packer(16, 3, 5, 4)
+    for doc in range(40):
+        n = 1 + doc * 7 % 23
+        packer.add(packing.Piece(doc, 0, bytes(4 * n), n, np.arange(n) % 2 == 0))
+    done = packer.take() + packer.finish()
+    assert sum(len(p) for s in done for p in s) == sum(1 + d * 7 % 23 for d in range(40))
+    assert all(sum(map(len, s)) <= 16 and len(s) <= 3 and sum(p.loss for p in s) <= 5 for s in done)
+
+
+def test_url_filter(spark):
+    urls = ["http://x.NET/en/1", "http://example.net/en/", "http://a.example.net/en/x?q", "http://example.net", "http://xexample.com/de/1", "https://m.example.com/de/9#t",
+            "ftp://q.org/fr/", "http://org/fr/a", None, "no-scheme.net/", "://net/", "http://a.net?x=://net/", "", "http://net./"]
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for k, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            m = re.match(r"(?s)([^/?#]*)([^?#]*)", u.split("://", 1)[1])
+            host, path = low(m[1]), m[2]
+        fit = [(r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rule, verdict = max(fit, key=lambda x: len(x[0])) if fit else (None, "allow")
+        assert got[k] == (host, path, rule, verdict)
+    universe = spark.range(20_000).selectExpr("cast(id as string) as key")
+    listed = universe.filter("cast(key as int) % 7 = 0")
+    cascade = url_filter.build_cascade(listed, universe)
+    keys = universe.select("key", *[url_filter._hash(k, w, universe.key) for k in range(len(cascade.levels)) for w in (0, 1)]).toPandas()
+    hashes = [(keys.iloc[:, 1 + 2 * k].to_numpy(), keys.iloc[:, 2 + 2 * k].to_numpy()) for k in range(len(cascade.levels))]
+    assert len(cascade.levels) > 1 and (cascade.holds(hashes) == (keys["key"].astype(int) % 7 == 0).to_numpy()).all()
+
+
+def exact_components(texts, k, percent=80):
+    sets = {}
+    for i, t in texts:
+        w = words(t)
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            n = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup(spark, rows, docs, nothing, k):
+    rng = np.random.default_rng(k)
+    words_ = [f"w{x}" for x in range(90)]
+    family = []
+    for n in range(60):
+        own = list(words_)
+        for at in rng.integers(0, 90, int(rng.integers(0, 9))):
+            own[at] = f"x{rng.integers(0, 9)}"
+        family.append((20_000 + n, " ".join(own)))
+    more = spark.createDataFrame([(i, t, "s", 1, 2, "x", "y") for i, t in family], f"doc_id long, text string, {EXTRA}")
+    both = docs.unionByName(more)
+    want = exact_components(rows + family, k)
+    assert {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(both, k=k).collect()} == want
+    kept = near_dedup.drop_near_duplicates(both, k=k)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if x[2]}
+    if k == 2:
+        assert near_dedup.near_duplicates(nothing, k=k).count() == 0
+
+
+def test_chat(spark):
+    tricky = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "[IMAGE:0]", "<", "s>", "", None, "[\\\\INST] <<s> \\", "é😀</s>"]
+    turns = [(c, t, ("user", "assistant", "system", None)[(c + t) % 4], tricky[(3 * c + t) % len(tricky)]) for c in range(8) for t in range(5)]
+    got = {r.conv_id: r for r in chat.digest(chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text in turns:
+        by[c].append((t, role or "", text or ""))
+    for c, ts in by.items():
+        said = "".join(f"{r}\n{x}\n" for _, r, x in sorted(ts))
+        loss = "".join(x for _, r, x in sorted(ts) if r == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (5, hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    typed = spark.sql(
+        "select 1L conv_id, 0L turn, 'user' role, array(named_struct('type','text','text','see <','uri',null,'tokens',null), named_struct('type','text','text','s>','uri',null,'tokens',null),"
+        " named_struct('type','image','text',null,'uri','a.png','tokens',9L), named_struct('type','audio','text',null,'uri','b','tokens',null)) parts")
+    r = chat.format_conversations(typed, parts=typed.parts).first()
+    assert r.formatted == "<s>user[INST]see <\\s>[IMAGE:0][AUDIO:1][/INST]</s>" and r.expanded_tokens == 759
+    assert [(a.type, a.uri) for a in r.attachments] == [("image", "a.png"), ("audio", "b")]
+
+
+def test_pii(rows, docs, nothing):
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
+        return {"email": True, "ip": kind != "ip" or max(map(int, m.split("."))) <= 255, "phone": 10 <= len(d) <= 15,
+                "card": 14 <= len(d) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0}[kind]
+
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for i, t in rows:
+        found = sorted((m.start(), k, name, m.end()) for k, (name, p) in enumerate(plain.items()) for m in re.finditer(p, t or "") if good(name, m[0]))
+        shown = [f"{n}:{a}:{b}" for a, _, n, b in found]
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(n == x[2] for x in found) for n in plain]
+        assert set(shown) <= set(r.spans.split(","))
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[10_008] == "[EMAIL][EMAIL] [IP].[IP] [PHONE] x" and text[10_001] is None
+    assert pii.report(nothing).count() == 0
+
+
+def test_pii_trees(spark):
+    made = pii.find(pii.examples(spark, 2_600), pii.learn(spark, 5_200))
+    right = made.selectExpr("truth", "exists(__pii_spans, x -> x.start < e and x.end > s) as found").groupBy("truth", "found").count().collect()
+    n = {(r.truth, r.found): r["count"] for r in right}
+    assert n.get((1, True), 0) / (n.get((1, True), 0) + n.get((1, False), 0)) > 0.9
+    assert n.get((0, True), 0) / (n.get((0, True), 0) + n.get((0, False), 0)) < 0.05
+
+
+def test_quality_model(spark, docs, nothing):
+    data = "/root/testdata/sf0.01"
+    full, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_model.train(full, labels)
+    assert model["theta"][0] < model["theta"][1] and model["accuracy"] > 0.8
+    out = quality_model.score(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in out)
+    assert all(r.kept for r in quality_model.score(docs, quality_model.train(full, labels.limit(0))).collect())
+    assert quality_model.score(nothing, model).count() == 0
+
+
+def test_lm_score(rows, docs, nothing):
+    tokens = {i: [*words(t), None] for i, t in rows}
+    count = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    total = sum(count.values())
+    for hot in (10, 100_000):
+        got = {r.doc_id: r for r in lm_score.score(docs, hot=hot, most=5_000).collect()}
+        for i, ws in tokens.items():
+            r = got[i]
+            base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (len(count) + 1))) for w in ws)
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in count for w in ws), total)
+            assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+    assert lm_score.score(nothing).count() == 0
+
+
+def test_context_tree():
+    """The weights against a direct recursion on one decision, and sums to 1."""
+    text = b"abracadabra abracadabra\n" * 3
+    tables = []
+    for d in range(3):
+        keys, sizes = lm_score._strings([text], d)
+        assert sizes.tolist() == [len(text)]
+        tables.append(tuple(x.astype(t) for x, t in zip(np.unique(keys, return_counts=True), (np.uint64, np.int64), strict=True)))
+    tree = lm_score.ContextTree(tables)
+    every = np.arange(256, dtype=np.uint64)
+    for context in (b"ab", b"zz", b"ra"):
+        p = 10 ** tree.log10(every | np.uint64(context[0] << 16 | context[1] << 8))
+        assert abs(p.sum() - 1) < 1e-4
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def counts(context):  # of the first decision
+        pad = b"\n\n" + text
+        at = [k for k in range(2, len(pad)) if pad[k - len(context) : k] == context]
+        return sum(pad[k] < 128 for k in at), sum(pad[k] >= 128 for k in at)
+
+    def weighted(context):
+        if len(context) == 2:
+            return kt(*counts(context))
+        below = sum(weighted(bytes([c]) + context) for c in set(b"\n" + text) if sum(counts(bytes([c]) + context)))
+        return np.logaddexp(kt(*counts(context)), below) - math.log(2)
+
+    def predict(context, full):
+        a, b = counts(context)
+        own = (b + 0.5) / (a + b + 1)
+        if len(context) == 2:
+            return own
+        stop = math.exp(kt(a, b) - math.log(2) - weighted(context))
+        return stop * own + (1 - stop) * predict(full[-len(context) - 1 :], full)
+
+    own, p = tree.nodes[2][0]
+    for context in (b"ab", b"ra"):
+        key = context[0] << 16 | context[1] << 8 | 1
+        assert math.isclose(p[np.searchsorted(own, key)], predict(b"", context), rel_tol=1e-4)
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, DATA), name)
+        assert out.columns == docs.columns and 0 < out.count() <= n
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        docs, n = out, out.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == n
