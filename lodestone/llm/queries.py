@@ -59,5 +59,26 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_FITS = "((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
+_ORDERED = sorted(url_filter.RULES, key=lambda r: -len(r[0]))
+
+
+def _case(k: int, default: str) -> str:
+    tests = (f"when {_FITS.format(h=r[0].split('/')[0], p='/' + r[0].split('/', 1)[1])} then '{r[k]}'" for r in _ORDERED)
+    return f"case {' '.join(tests)} else {default} end"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filter": f"""
+            with cut as (
+                select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+            ), named as (
+                select page_id,
+                    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+                from cut
+            )
+            select page_id, host, path, {_case(0, "null")} as rule, {_case(1, "'allow'")} as verdict from named
+        """
+    }
