@@ -16,10 +16,11 @@
 4.  Second pass, over the lists that still hold several components: all pairs
     of different components with enough collisions, each reported from its
     first common list only, are confirmed and merged, so no candidate is lost.
-    Pairs within one component need no test.  Here ``FINE`` further minima of
-    the documents in those lists, a byte of each, must agree in
-    ``fine_matches`` places too: a family's outliers, which are less similar
-    to all of its members, are not tried against each of them.
+    Pairs within one component need no test.  Here the documents in those lists
+    carry the counts of their shingles in ``BUCKETS`` buckets too.  Two sets
+    share no more than the sum of the smaller counts, so pairs that this bound
+    puts below the threshold go without loss: a family's outliers, which are
+    less similar to all of its members, are not tried against each of them.
 
 A long list is dealt in blocks of ``BLOCK`` members, a task per pair of blocks.
 
@@ -51,8 +52,8 @@ from .common import ASCII_LOWER, materialize, slices
 from .components import components
 
 COORDS, MATCHES, HEAVY = 96, 64, 200_000
-#: Further minima in the second pass.
-FINE = 384
+#: Buckets of the second pass's bound.
+BUCKETS = 1024
 #: Members that one task compares with a leader, at most.
 GROUP = 512
 #: Members of a list that one task compares with each other or another block.
@@ -130,26 +131,31 @@ def signatures(docs: DataFrame, k: int, coords: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_hash binary, sig binary")
 
 
-def fine_matches(percent: int) -> int:
-    """4.2 standard deviations below what a pair at the threshold expects."""
-    p = percent / 100
-    return int(FINE * p - 4.2 * (FINE * p * (1 - p)) ** 0.5)
+def bucket_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles per bucket, at most 255; what is beyond is n less their sum."""
+    return np.minimum(np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
 
 
-def _fine(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, fine: the low bytes of FINE further minima of the documents ``ids``."""
+def shared_bound(n: np.ndarray, counts: np.ndarray, m: int, other: np.ndarray) -> np.ndarray:
+    """At least as many as the shingles that sets of sizes ``n`` share with one of size ``m``."""
+    beyond = np.minimum(n - counts.sum(axis=1, dtype=np.int64), m - other.sum(dtype=np.int64))
+    return np.minimum(counts, other).sum(axis=1, dtype=np.int64) + beyond
+
+
+def _counted(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, counts: the bucket counts of the documents ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, by = Shingler(k), _multipliers(COORDS + FINE)[-FINE:]
+        shingler = Shingler(k)
         for batch in batches:
             for some in slices(batch):
-                minima = [signature(shingler.shingles(t), by).astype(np.uint8).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(minima, pa.binary())], names=["id", "fine"])
+                counts = [bucket_counts(shingler.shingles(t)).tobytes() for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.binary())], names=["id", "counts"])
 
     ids = ids.select("id").distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, fine binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, counts binary")
 
 
 def _keys(sigs: pa.Array, coords: int) -> np.ndarray:
@@ -212,9 +218,8 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
     parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = lists.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))}).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp", "sig", *(["fine"] if every else [])
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp", "sig", *(["counts"] if every else [])
     )
-    enough = fine_matches(percent)
     size = coords - matches + 1
     schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "ca", "cb")])
 
@@ -225,7 +230,7 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
         heavy = sent.value
 
         def pairs(key: int, lo: int, hi: int, rows: tuple) -> list[np.ndarray]:
-            own, ids, n, comp, sig, mask, fine = rows
+            own, ids, n, comp, sig, mask, counts = rows
             if len(ids) < 2 or (comp == comp[0]).all():
                 return []
             out = []
@@ -249,7 +254,8 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
                     same = sig[js] == sig[i]
                     near = (same.sum(axis=1) >= matches) & ((same & mask[js] & mask[i]).argmax(axis=1) == coord)
                     js = js[near]
-                    report(i, js[(fine[js] == fine[i]).sum(axis=1) >= enough])
+                    most = shared_bound(n[js], counts[js], n[i], counts[i])
+                    report(i, js[100 * most >= percent * (n[i] + n[js] - most)])
             return out
 
         kept: list[tuple] = []
@@ -263,11 +269,11 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
             mask = np.zeros(keys.shape, bool)
             if every:
                 np.put_along_axis(mask, _prefix(keys, *heavy, size), True, 1)
-            fine = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, FINE) if every else mask
+            counts = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BUCKETS) if every else mask
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
             found: list[np.ndarray] = []
             for x, y in zip([0, *new], [*new, len(key)], strict=True):
-                g, rows = (int(key[x]), int(lo[x]), int(hi[x])), tuple(c[x:y] for c in (own, ids, n, comp, sig, mask, fine))
+                g, rows = (int(key[x]), int(lo[x]), int(hi[x])), tuple(c[x:y] for c in (own, ids, n, comp, sig, mask, counts))
                 if g != group:
                     if kept:
                         found += pairs(*group, tuple(np.concatenate(c) for c in zip(*kept, strict=True)))
@@ -347,7 +353,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coords: i
             mixed = mixed.withColumn("comp", F.col("id"))
         members_of = mixed.join(signed, "id").select("key", "members", "id", "n", "comp", "sig")
         if every:
-            members_of = members_of.join(materialize(_fine(docs, mixed, k), "fine"), "id").select("key", "members", "id", "n", "comp", "sig", "fine")
+            members_of = members_of.join(materialize(_counted(docs, mixed, k), "counts"), "id").select("key", "members", "id", "n", "comp", "sig", "counts")
         likely = materialize(_candidates(members_of, sent, coords, matches, percent, every), "likely")
         links = materialize(confirmed(likely, docs, k, percent), "links")
         found = materialize(components(likely.join(links, ["a", "b"]), "ca", "cb").withColumnRenamed("id", "comp"), "merged")

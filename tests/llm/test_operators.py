@@ -221,6 +221,16 @@ def test_near_dedup(spark, rows, docs, nothing, k):
         assert near_dedup.near_duplicates(nothing, k=k).count() == 0
 
 
+def test_shared_bound():
+    rng = np.random.default_rng(7)
+    for size in (0, 5, 300, 20_000, 400_000):
+        pool = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        a, b = (pool[rng.random(len(pool)) < 0.9] for _ in range(2))
+        ca, cb = near_dedup.bucket_counts(a), near_dedup.bucket_counts(b)
+        bound, shared = near_dedup.shared_bound(np.array([len(a)]), ca[None], len(b), cb)[0], len(np.intersect1d(a, b))
+        assert shared <= bound <= min(len(a), len(b)) and (size > 300 or bound <= shared + 8)
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "[IMAGE:0]", "<", "s>", "", None, "[\\\\INST] <<s> \\", "é😀</s>"]
     turns = [(c, t, ("user", "assistant", "system", None)[(c + t) % 4], tricky[(3 * c + t) % len(tricky)]) for c in range(8) for t in range(5)]
