@@ -13,8 +13,9 @@
     ``matches`` coordinates, so pairs grow as the postings, not their squares.
     They are confirmed on the full shingle sets of both texts, and confirmed
     links merge into components.
-4.  Second pass, over the lists that still hold several components: all pairs
-    of different components with enough collisions, each reported from its
+4.  Second pass, over the lists where the first left pairs untried (a list
+    whose leaders took nobody has tried all of its pairs) and that still hold
+    several components: all pairs of different components with enough collisions, each reported from its
     first common list only, are confirmed and merged, so no candidate is lost.
     Pairs within one component need no test.  Here the documents in those lists
     carry the counts of their shingles in ``BUCKETS`` buckets too.  Two sets
@@ -209,7 +210,9 @@ def _postings(reps: DataFrame, sent, coords: int, size: int) -> DataFrame:
 
 
 def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b, ca, cb) of members of a list that collide often enough.
+    """Pairs (a, b, ca, cb) of members of a list that collide often enough, with
+    ``open`` 0; a row with ``open`` 1 has in ``a`` the key of a list that has
+    pairs untried.
 
     ``lists``: key, members, id, n, comp, sig.  Without ``every``, leaders and
     what they take; with it, all pairs of different components, each from its
@@ -221,7 +224,7 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
         "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp", "sig", *(["counts"] if every else [])
     )
     size = coords - matches + 1
-    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "ca", "cb")])
+    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "ca", "cb", "open")])
 
     def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
@@ -236,7 +239,7 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
             out = []
 
             def report(i, js):
-                out.append(np.stack([np.full(len(js), ids[i]), ids[js], np.full(len(js), comp[i]), comp[js]]))
+                out.append(np.stack([np.full(len(js), ids[i]), ids[js], np.full(len(js), comp[i]), comp[js], np.zeros(len(js), np.int64)]))
 
             if not every:
                 left, tried = np.arange(len(ids)), 0
@@ -245,6 +248,8 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
                     near = fits(n[i], n[rest]) & ((sig[rest] == sig[i]).sum(axis=1) >= matches)
                     report(i, rest[near])
                     left, tried = rest[~near], tried + 1
+                if len(left) > 1 or any(x.shape[1] for x in out):
+                    out.append(np.array([[key], [0], [0], [0], [1]]))
                 return out
             coord = key >> 32
             for i in range(len(ids)):
@@ -286,7 +291,7 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
 
     return (
         dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-        .mapInArrow(meet, "a long, b long, ca long, cb long").distinct()
+        .mapInArrow(meet, "a long, b long, ca long, cb long, open long").distinct()
     )
 
 
@@ -346,7 +351,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coords: i
     for every in (False, True):
         mixed = lists  # key, members, id, comp
         if every:
-            lists = lists.join(labels, "id")
+            lists = lists.join(untried, "key").join(labels, "id")
             several = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
             mixed = materialize(lists.join(several, "key"), "mixed")
         else:
@@ -354,7 +359,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coords: i
         members_of = mixed.join(signed, "id").select("key", "members", "id", "n", "comp", "sig")
         if every:
             members_of = members_of.join(materialize(_counted(docs, mixed, k), "counts"), "id").select("key", "members", "id", "n", "comp", "sig", "counts")
-        likely = materialize(_candidates(members_of, sent, coords, matches, percent, every), "likely")
+        met = materialize(_candidates(members_of, sent, coords, matches, percent, every), "met")
+        likely, untried = met.filter("open = 0").drop("open"), met.filter("open = 1").select(F.col("a").alias("key"))
         links = materialize(confirmed(likely, docs, k, percent), "links")
         found = materialize(components(likely.join(links, ["a", "b"]), "ca", "cb").withColumnRenamed("id", "comp"), "merged")
         labels = materialize(labels.join(found, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "labels")
