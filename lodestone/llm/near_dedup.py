@@ -3,8 +3,11 @@
 1.  Each text becomes its set of k-word shingles, as 64-bit hashes, and a
     signature of ``coords`` minima.  Texts with equal sets form a class and its
     smallest doc_id stands for them from here on.
-2.  Every representative is posted under (coordinate, value) pairs.  Two
-    signatures that agree in at least ``matches`` coordinates share a posting
+2.  Every representative is posted under (coordinate, value) pairs.  A posting
+    coordinate joins two neighbouring ones of the signature and its value is the
+    hash of both minima, so texts that merely share a common shingle seldom
+    meet.  Two signatures that agree in at least ``matches`` coordinates differ
+    in ``coords - matches`` posting coordinates at most.  They share a posting
     within the first ``coords - matches + 1`` of each in any common order
     (prefix filter), so only those are posted.  The order puts frequent values
     last: those lists are skipped unless a document has nothing rarer.
@@ -159,10 +162,16 @@ def _counted(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, counts binary")
 
 
-def _keys(sigs: pa.Array, coords: int) -> np.ndarray:
-    """Rows of posting keys: coordinate in the high half, value in the low."""
-    flat = np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(-1, coords)
-    return ((np.arange(coords, dtype=np.int64) << 32)[None, :] | flat.astype(np.int64)).reshape(-1, coords)
+def _minima(sigs: pa.Array, coords: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(-1, coords)
+
+
+def _keys(minima: np.ndarray) -> np.ndarray:
+    """Rows of posting keys, one for two neighbouring minima: coordinate in the
+    high half, value in the low."""
+    wide = minima.astype(np.uint64)
+    value = ((wide[:, 0::2] * _M1) ^ wide[:, 1::2]) * _M2 >> np.uint64(32)
+    return (np.arange(value.shape[1], dtype=np.int64) << 32)[None, :] | value.astype(np.int64)
 
 
 def _frequent(reps: DataFrame, coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +179,7 @@ def _frequent(reps: DataFrame, coords: int) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n = np.unique(_keys(batch.column(0), coords), return_counts=True)
+            keys, n = np.unique(_keys(_minima(batch.column(0), coords)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
     top = (
@@ -198,7 +207,7 @@ def _postings(reps: DataFrame, sent, coords: int, size: int) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 4096):
-                keys = _keys(some.column(1), coords)
+                keys = _keys(_minima(some.column(1), coords))
                 if len(keys):
                     order = _prefix(keys, *sent.value, size)
                     yield pa.RecordBatch.from_arrays(
@@ -233,7 +242,7 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
         heavy = sent.value
 
         def pairs(key: int, lo: int, hi: int, rows: tuple) -> list[np.ndarray]:
-            own, ids, n, comp, sig, mask, counts = rows
+            own, ids, n, comp, sig, keys, mask, counts = rows
             if len(ids) < 2 or (comp == comp[0]).all():
                 return []
             out = []
@@ -256,8 +265,8 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
                 js = np.arange(i + 1, len(ids))
                 js = js[(comp[js] != comp[i]) & fits(n[i], n[js]) & ((lo == hi) | (own[js] != own[i]))]
                 if len(js):
-                    same = sig[js] == sig[i]
-                    near = (same.sum(axis=1) >= matches) & ((same & mask[js] & mask[i]).argmax(axis=1) == coord)
+                    shared = (keys[js] == keys[i]) & mask[js] & mask[i]
+                    near = ((sig[js] == sig[i]).sum(axis=1) >= matches) & (shared.argmax(axis=1) == coord)
                     js = js[near]
                     most = shared_bound(n[js], counts[js], n[i], counts[i])
                     report(i, js[100 * most >= percent * (n[i] + n[js] - most)])
@@ -269,8 +278,8 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
             if not batch.num_rows:
                 continue
             key, lo, hi, own, ids, n, comp = (np.asarray(batch.column(k)) for k in range(7))
-            keys = _keys(batch.column(7), coords)
-            sig = keys.astype(np.uint32)
+            sig = _minima(batch.column(7), coords)
+            keys = _keys(sig)
             mask = np.zeros(keys.shape, bool)
             if every:
                 np.put_along_axis(mask, _prefix(keys, *heavy, size), True, 1)
@@ -278,7 +287,7 @@ def _candidates(lists: DataFrame, sent, coords: int, matches: int, percent: int,
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
             found: list[np.ndarray] = []
             for x, y in zip([0, *new], [*new, len(key)], strict=True):
-                g, rows = (int(key[x]), int(lo[x]), int(hi[x])), tuple(c[x:y] for c in (own, ids, n, comp, sig, mask, counts))
+                g, rows = (int(key[x]), int(lo[x]), int(hi[x])), tuple(c[x:y] for c in (own, ids, n, comp, sig, keys, mask, counts))
                 if g != group:
                     if kept:
                         found += pairs(*group, tuple(np.concatenate(c) for c in zip(*kept, strict=True)))
@@ -334,6 +343,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    if coords % 2 or 2 * (coords - matches) >= coords:
+        raise ValueError("coords must be even and matches above half of it")
     sigs = materialize(signatures(docs, k, coords), "signatures")
     copies = materialize(
         sigs.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "copies"
