@@ -9,10 +9,22 @@ all depths are mixed with the weights of context-tree weighting (Willems,
 Shtarkov, Tjalkens 1995): half for stopping at a node, half for its children,
 so a node's posterior weight is  1/2 Pe / Pw.
 
-Learning counts (depth + 1)-byte strings in every partition and adds them up in
-Spark.  The model keeps, per depth, the contexts seen often enough that at most
-``MAX_STRINGS`` strings remain; what is cut is treated as one further child of
-its parent.  That bounds the model and its broadcast at any input size.
+Learning counts the distinct (depth + 1)-byte strings of all texts and keeps
+every one; held-out texts add strings with a count of zero, which changes no
+weight.  All tables stay distributed, in the shared folder:
+
+1.  Strings are dealt by the last ``SPLIT`` bytes of their context.  Whatever lies
+    below such a context is one subtree, of at most 2^24 strings at any input
+    size; a task computes it alone, up to the node at ``SPLIT``, and what it says
+    about each string's last byte.
+2.  Nodes above are summed depth by depth, up to the root, and get from their
+    parents, down again, the weight that reaches them.
+3.  A join of both gives each string its probability.  Where a node was never
+    seen, the deepest seen one on its path takes what is left.
+
+Scoring: the ``MAX_STRINGS`` most frequent strings are broadcast, which bounds
+that table and only saves work; the others are counted per document and joined
+with the table of strings, where no key is frequent.
 
 Words: the ``HOT`` most frequent are broadcast (a bounded table); the others
 are counted per document and joined with the counts by word, where no key is
@@ -37,8 +49,12 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, materialize, slices
 
 DEPTH, MAX_STRINGS, HOT = 5, 400_000, 100_000
+#: Bytes of the contexts that subtrees hang from.
+SPLIT = 3
 #: Bytes of text that are counted or scored at once.
 CHUNK = 2_000_000
+#: Strings of whole subtrees that are weighted at once, about.
+STRINGS = 500_000
 _END = 10  # the byte of the end mark; also what precedes a text
 _U = np.uint64
 
@@ -85,53 +101,49 @@ class _Chunks:
         return out
 
 
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
+
+
 def _count_strings(docs: DataFrame, depth: int) -> DataFrame:
+    """key, n (in training texts), m (in all texts): sums of parts of partitions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        chunks = _Chunks()
+        held: list[tuple] = []
+        chunks = {True: _Chunks(), False: _Chunks()}
 
-        def merge(bodies, keys, n):
-            new, m = np.unique(_strings(bodies, depth)[0], return_counts=True)
-            both = np.concatenate([keys, new])
-            order = np.argsort(both, kind="stable")
-            both, many = both[order], np.concatenate([n, m])[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
-            return both[first], np.add.reduceat(many, first) if len(first) else n
+        def merge(bodies, learned):
+            keys, m = np.unique(_strings(bodies, depth)[0], return_counts=True)
+            held.append((keys, m * learned, m))
+            if len(held) > 1:
+                held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+
+        def out():
+            for keys, n, m in held:
+                for at in range(0, len(keys), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].astype(np.int64)), pa.array(n[part]), pa.array(m[part])], names=["key", "n", "m"])
+            held.clear()
 
         for batch in batches:
             for some in slices(batch):
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    if not held_out(doc):
-                        body = b" ".join(words_of(text)) + bytes([_END])
-                        if ready := chunks.add(body, len(body)):
-                            keys, n = merge(ready, keys, n)
-                            if len(keys) > 2_000_000:
-                                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
-                                keys, n = keys[:0], n[:0]
-        if ready := chunks.take():
-            keys, n = merge(ready, keys, n)
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].astype(np.int64)), pa.array(n[at : at + 100_000])], names=["key", "n"])
+                    body = b" ".join(words_of(text)) + bytes([_END])
+                    learned = not held_out(doc)
+                    if ready := chunks[learned].add(body, len(body)):
+                        merge(ready, learned)
+                        if len(held[0][0]) > 2_000_000:
+                            yield from out()
+        for learned, own in chunks.items():
+            if ready := own.take():
+                merge(ready, learned)
+        yield from out()
 
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _bounded(strings: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of the contexts seen at least as often as keeps ``most`` strings
-    at most; sorted by key.  Histogram first: one row per power of two."""
-    per = strings.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("strings"))
-    per = materialize(per, "contexts")
-    size = F.floor(F.log2("total") * 8).cast("int")
-    least, room = 1 << 30, most
-    for r in per.groupBy(size.alias("size")).agg(F.sum("strings").alias("strings")).orderBy(F.desc("size")).collect():
-        if r["strings"] > room:
-            break
-        room -= r["strings"]
-        least = r["size"]
-    kept = strings.withColumn("ctx", F.shiftrightunsigned("key", 8)).join(per.filter(size >= least).select("ctx"), "ctx").select("key", "n").toArrow()
-    keys, n = np.asarray(kept.column("key")).astype(np.uint64), np.asarray(kept.column("n")).astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    return docs.mapInArrow(run, "key long, n long, m long")
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,7 +165,8 @@ def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 class ContextTree:
-    """The weighted model.  nodes[d][b]: (sorted keys, probability of a one) of
+    """The weighted model in memory, for small tables; ``learn`` gives the same
+    from distributed ones.  nodes[d][b]: (sorted keys, probability of a one) of
     decision b in contexts of d bytes; key: context << 8 | (1 << b | bits so far)."""
 
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -205,7 +218,7 @@ class ContextTree:
                     reach, spent = (reach * (1 - stops[d - 1]))[up], (spent + reach * stops[d - 1] * raw_est)[up]
                 raw_est = est
                 one = spent + reach * est  # the deepest node on the path takes what is left
-                self.nodes[d].append((own, one.astype(np.float32)))
+                self.nodes[d].append((own, one))
         keys, _ = tables[-1]
         self.table = self._hash_table(keys, self.slow(keys))
 
@@ -253,40 +266,170 @@ class ContextTree:
             out[miss] = self.slow(new)[back]
         return out
 
-    def parts(self) -> tuple:
-        return self.depth, self.nodes, self.table
-
-    @classmethod
-    def of_parts(cls, parts: tuple) -> ContextTree:
-        tree = cls.__new__(cls)
-        tree.depth, tree.nodes, tree.table = parts
-        return tree
-
-
-def learn(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS) -> ContextTree:
-    """A model of ``docs`` (doc_id, text), without the rows held out."""
-    strings = materialize(_count_strings(docs.select("doc_id", "text"), depth), "strings")
-    tables = []
-    for d in range(depth, -1, -1):
-        tables.append(_bounded(strings, most))
-        if d:
-            mask = (1 << (8 * d)) - 1
-            strings = materialize(strings.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), "strings")
-    return ContextTree(_nested(tables[::-1]))
-
-
-def _nested(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Drop strings whose shorter form was cut (a tree's nodes have parents)."""
-    out = tables[:1]
-    for d, (keys, n) in enumerate(tables[1:], 1):
-        above = out[-1][0]
-        if len(above):
-            short = keys & _U((1 << (8 * d)) - 1)
-            ok = above[np.minimum(np.searchsorted(above, short), len(above) - 1)] == short
-        else:
-            ok = np.zeros(len(keys), bool)
-        out.append((keys[ok], n[ok]))
-    return out
+
+def _weigh(keys: np.ndarray, n: np.ndarray, depth: int, split: int) -> tuple[np.ndarray, list[tuple]]:
+    """Whole subtrees below contexts of ``split`` bytes; keys distinct, sorted.
+    For each string and decision, what the subtree says of the bit it takes (not a
+    number where it was never seen); the nodes at ``split``: key, zeros, ones, ln Pw."""
+    says, tops = np.empty((len(keys), 8)), []
+    ctx, byte = keys >> _U(8), keys & _U(255)
+    for b in range(8):
+        one = (byte >> _U(7 - b)) & _U(1) == 1
+        own, at = np.unique((ctx << _U(8)) | _U(1 << b) | (byte >> _U(8 - b)), return_inverse=True)
+        zeros, ones = _sums(at[~one], n[~one], len(own)), _sums(at[one], n[one], len(own))
+        pw = _log_kt(zeros, ones)
+        levels = [(at, zeros, ones, np.ones(len(own)))]
+        for d in range(depth - 1, split - 1, -1):
+            own, up = np.unique(own & _U((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            zeros, ones = _sums(up, zeros, len(own)), _sums(up, ones, len(own))
+            pw, stop = _mixed(zeros, ones, _sums(up, pw, len(own)))
+            at = up[at]
+            levels.append((at, zeros, ones, stop))
+        tops.append((own, zeros, ones, pw))
+        say = np.full(len(keys), np.nan)
+        for at, zeros, ones, stop in levels:
+            total = (zeros + ones)[at]
+            est = (np.where(one, ones[at], zeros[at]) + 0.5) / (total + 1.0)
+            say = np.where(np.isnan(say), np.where(total > 0, est, np.nan), stop[at] * est + (1 - stop[at]) * say)
+        says[:, b] = say
+    return says, [np.concatenate(x) for x in zip(*tops, strict=True)]
+
+
+def _mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln Pw of inner nodes, and their posterior weights."""
+    pe = _log_kt(zeros, ones)
+    pw = np.logaddexp(pe, below) - np.log(2)
+    return pw, np.exp(np.minimum(pe - np.log(2) - pw, 0))
+
+
+def _lists(owner: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Distinct owners (ascending as given), and each column as one list an owner."""
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    cuts = pa.array(np.concatenate([first, [len(owner)]]).astype(np.int32))
+    return owner[first], [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]
+
+
+def _subtrees(strings: DataFrame, depth: int, split: int) -> DataFrame:
+    """One row per context of ``split`` bytes: its strings, their occurrences and
+    what is said of their bits (eight each), and its nodes."""
+    dealt = strings.withColumn("top", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * split)) - 1)))
+    dealt = dealt.repartition("top").groupBy("top", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).sortWithinPartitions("top")
+
+    def weigh(parts: list[tuple]) -> pa.RecordBatch:
+        _, keys, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        keys, n, m = keys[order], n[order], m[order]
+        says, (nodes, *values) = _weigh(keys, n.astype(np.float64), depth, split)
+        mask = _U((1 << (8 * split)) - 1)
+        order = np.argsort((keys >> _U(8)) & mask, kind="stable")
+        tops, lists = _lists(((keys >> _U(8)) & mask)[order].astype(np.int64), keys[order].astype(np.int64), m[order])
+        widths = pa.array(np.asarray(lists[0].offsets) * 8)
+        says = pa.ListArray.from_arrays(widths, pa.array(says[order].ravel().astype(np.float32)))
+        by = np.argsort(nodes)
+        _, more = _lists((nodes[by] >> _U(8)).astype(np.int64), nodes[by].astype(np.int64), *(v[by] for v in values))
+        return pa.RecordBatch.from_arrays([pa.array(tops), *lists, says, *more], names=["top", "keys", "m", "says", "nodes", "zeros", "ones", "pw"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, many = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = tuple(np.asarray(c) for c in batch.columns)
+            now = (now[0], now[1].astype(np.uint64), *now[2:])
+            if many >= STRINGS:  # up to where the last subtree begins
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                if not cut and parts[-1][0][-1] != now[0][0]:
+                    yield weigh(parts)
+                    parts, many = [], 0
+                elif cut:
+                    yield weigh([*parts, tuple(c[:cut] for c in now)])
+                    now, parts, many = tuple(c[cut:] for c in now), [], 0
+            parts.append(now)
+            many += len(now[0])
+        if parts:
+            yield weigh(parts)
+
+    floats = "array<double>"
+    return dealt.mapInArrow(run, f"top long, keys array<long>, m array<long>, says array<float>, nodes array<long>, zeros {floats}, ones {floats}, pw {floats}")
+
+
+def _above(nodes: DataFrame, split: int) -> DataFrame:
+    """key, reach, spent, above of the nodes (key, zeros, ones, pw) at ``split``:
+    the weight that reaches the node, what shallower ones have said of a one, and
+    the probability of a one as far as seen above it."""
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, zeros, ones, below = batch.columns
+            pw, stop = _mixed(*(np.asarray(c) for c in (zeros, ones, below)))
+            yield pa.RecordBatch.from_arrays([key, zeros, ones, pa.array(pw), pa.array(stop)], names=["key", "zeros", "ones", "pw", "stop"])
+
+    def parent(d: int):
+        return F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
+
+    levels = [nodes]
+    for d in range(split - 1, -1, -1):
+        sums = levels[-1].groupBy(parent(d).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("pw"))
+        levels.append(materialize(sums.mapInArrow(mix, "key long, zeros double, ones double, pw double, stop double"), "nodes"))
+    here = levels[-1].withColumns({"reach": F.lit(1.0), "spent": F.lit(0.0), "above": F.lit(0.5)})
+    total = F.col("zeros") + F.col("ones")
+    said = F.col("spent") + F.col("reach") * (F.col("ones") + 0.5) / (total + 1)
+    for d in range(1, split + 1):
+        up = here.select(
+            F.col("key").alias("up"), (F.col("reach") * (1 - F.col("stop"))).alias("reach"),
+            (F.col("spent") + F.col("reach") * F.col("stop") * (F.col("ones") + 0.5) / (total + 1)).alias("spent"),
+            F.when(total > 0, said).otherwise(F.col("above")).alias("above"),
+        )
+        up = F.broadcast(up) if d <= 2 else up  # 255 or 65,280 rows at most
+        here = levels[split - d].withColumn("up", parent(d - 1)).join(up, "up").drop("up")
+    return here.select("key", "reach", "spent", "above")
+
+
+def learn(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
+    """key, m, p of every distinct (depth + 1)-byte string of ``docs`` (doc_id,
+    text): occurrences, and log10 of the probability of its last byte by the model
+    of the rows not held out."""
+    split = min(SPLIT, depth)
+    trees = materialize(_subtrees(_count_strings(docs.select("doc_id", "text"), depth), depth, split), "subtrees")
+    nodes = trees.select(F.explode(F.arrays_zip("nodes", "zeros", "ones", "pw")).alias("x")).select(F.col("x.nodes").alias("key"), "x.zeros", "x.ones", "x.pw")
+    above = _above(nodes, split)
+    packed = above.groupBy(F.shiftrightunsigned("key", 8).alias("top")).agg(F.collect_list(F.struct("key", "reach", "spent", "above")).alias("x"))
+    packed = packed.select("top", *(F.col(f"x.{c}").alias(c) for c in ("key", "reach", "spent", "above")))
+    both = trees.select("top", "keys", "m", "says").join(packed, "top").drop("top")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 64):
+                keys, m, says, node, *values = (np.asarray(c.flatten()) for c in some.columns)
+                keys, says = keys.astype(np.uint64), says.reshape(-1, 8).astype(np.float64)
+                order = np.argsort(node)
+                node, (reach, spent, above) = node[order].astype(np.uint64), (v[order] for v in values)
+                short, byte = (keys & _U((1 << (8 * (split + 1))) - 1)) & ~_U(255), keys & _U(255)
+                p = np.zeros(len(keys))
+                for b in range(8):
+                    at = np.searchsorted(node, short | _U(1 << b) | (byte >> _U(8 - b)))
+                    one = (byte >> _U(7 - b)) & _U(1) == 1
+                    said = np.where(one, spent[at], 1 - reach[at] - spent[at]) + reach[at] * says[:, b]
+                    p += np.log10(np.maximum(np.where(np.isnan(says[:, b]), np.where(one, above[at], 1 - above[at]), said), 1e-12))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(m), pa.array(p)], names=["key", "m", "p"])
+
+    return materialize(both.mapInArrow(finish, "key long, m long, p double"), "strings")
+
+
+def _frequent(strings: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent strings, ``most`` at most, sorted, and their p: whole
+    classes of an eighth of a power of two."""
+    size = F.floor(F.log2("m") * 8).cast("int")
+    least, room = 1 << 30, most
+    for r in strings.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        if r["count"] > room:
+            break
+        room -= r["count"]
+        least = r["size"]
+    top = strings.filter(size >= least).select("key", "p").toArrow()
+    keys, p = np.asarray(top.column("key")).astype(np.uint64), np.asarray(top.column("p"))
+    order = np.argsort(keys)
+    return keys[order], p[order]
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
@@ -325,27 +468,42 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot:
     total, kinds = words + ends, distinct + (ends > 0)
     first = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()
     hot_words = dict(zip(first.column("word").to_pylist(), first.column("c").to_pylist(), strict=True))
-    model = learn(docs, depth=depth, most=most)
-    sent = spark.sparkContext.broadcast((model.parts(), hot_words))
-    del model
+    strings = learn(docs, depth=depth)
+    sent = spark.sparkContext.broadcast((_frequent(strings, most), hot_words))
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:binary,n:long>>"
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:binary,n:long>>, cold array<struct<key:long,n:long>>"
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts, known = sent.value
-        tree, get = ContextTree.of_parts(parts), known.get
+        (keys, logs), known = sent.value
+        (bits, slots, held), get = ContextTree._hash_table(keys, logs), known.get
         end_log = float(np.log10(ends + 0.5))
         row = TaskContext.get().partitionId() << 33
         chunks = _Chunks()
 
         def out(items: list) -> pa.RecordBatch:
             nonlocal row
-            strings, sizes = _strings([b for _, b in items], tree.depth)
-            logs = tree.log10(strings)
-            sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            own_keys, sizes = _strings([b for _, b in items], depth)
+            at = ContextTree._slot(own_keys, bits)
+            said = held[at].astype(np.float64)
+            miss = np.flatnonzero(slots[at] != own_keys)
+            said[miss] = 0.0
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, own_keys[miss]), len(keys) - 1)
+                hit = keys[at] == own_keys[miss]
+                said[miss[hit]] = logs[at[hit]]
+                miss = miss[~hit]
+            sums = np.add.reduceat(said, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            owner = np.repeat(np.arange(len(items)), sizes)[miss]
+            order = np.lexsort((own_keys[miss], owner))
+            owner, other = owner[order], own_keys[miss][order]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])) if len(owner) else np.empty(0, np.int64)
+            cold = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(owner[first], np.arange(len(items) + 1)).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(other[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(owner))))], names=["key", "n"]),
+            )
             columns: list[list] = [[] for _ in range(6)]
             for doc, body in items:
                 own = body[:-1].split()
@@ -362,8 +520,8 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot:
                 row += 1
             *ints, base, rare = columns
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in ints), pa.array(base, pa.float64()), pa.array(sums), pa.array(sizes, pa.int64()), pa.array(rare, rare_type)],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rare"],
+                [*(pa.array(c, pa.int64()) for c in ints), pa.array(base, pa.float64()), pa.array(sums), pa.array(sizes, pa.int64()), pa.array(rare, rare_type), cold],
+                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rare", "cold"],
             )
 
         from math import log10 as log
@@ -384,7 +542,10 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot:
         .groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more_known"))
     )
     norm = float(np.log10(total + 0.5 * (kinds + 1)))
-    both = scored.drop("rare").join(rest, "row", "left")
+    cold = scored.select("row", F.explode("cold").alias("r")).select("row", "r.key", "r.n")
+    colder = cold.join(strings.select("key", "p"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("p")).alias("more_score"))
+    both = scored.drop("rare", "cold").join(rest, "row", "left").join(colder, "row", "left")
+    both = both.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return both.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"),

@@ -311,6 +311,23 @@ def test_lm_score(rows, docs, nothing):
     assert lm_score.score(nothing).count() == 0
 
 
+def test_lm_score_keeps_every_context(rows, docs):
+    """Scores are those of the tree of all strings in memory, also where few strings are broadcast."""
+    bodies = {i: b" ".join(lm_score.words_of(t)) + b"\n" for i, t in rows}
+    own = [b for i, b in bodies.items() if not lm_score.held_out(i)]
+    for depth, cached in ((5, (0, 400_000)), (2, (500,))):
+        tables = []
+        for d in range(depth + 1):
+            keys, n = np.unique(lm_score._strings(own, d)[0], return_counts=True)
+            tables.append((keys, n.astype(np.int64)))
+        tree = lm_score.ContextTree(tables)
+        for most in cached:
+            got = {r.doc_id: r.score for r in lm_score.score(docs, depth=depth, most=most).collect()}
+            assert len(got) == len(rows)
+            for i, b in bodies.items():
+                assert abs(got[i] - tree.slow(lm_score._strings([b], depth)[0]).sum()) < 1e-6 * len(b), (depth, most, i)
+
+
 def test_context_tree():
     """The weights against a direct recursion on one decision, and sums to 1."""
     text = b"abracadabra abracadabra\n" * 3
