@@ -28,8 +28,8 @@
 
 A long list is dealt in blocks of ``BLOCK`` members, a task per pair of blocks.
 
-At the default 96 coordinates and 64 matches a pair at the threshold of 0.8 is
-a candidate with probability 0.9995 (binomial), one at 0.85 with 0.9999999.
+At the default 96 coordinates and 56 matches a pair at the threshold of 0.8 is
+no candidate with probability 3.5e-7 (binomial), one above it more rarely.
 
 The frequency table only orders values; it is cut at ``HEAVY`` entries, which
 bounds its broadcast and cannot lose a pair, since every document uses the same
@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, materialize, slices
 from .components import components
 
-COORDS, MATCHES, HEAVY = 96, 64, 200_000
+COORDS, MATCHES, HEAVY = 96, 56, 200_000
 #: Buckets of the second pass's bound.
 BUCKETS = 1024
 #: Members that one task compares with a leader, at most.

@@ -221,6 +221,19 @@ def test_near_dedup(spark, rows, docs, nothing, k):
         assert near_dedup.near_duplicates(nothing, k=k).count() == 0
 
 
+def test_near_dedup_at_the_threshold(spark):
+    """Sets with 4 of 5 shingles in common whose signatures agree in fewer than two thirds are linked."""
+    by, shingler, pairs = near_dedup._multipliers(near_dedup.COORDS), near_dedup.Shingler(1), []
+    for n in range(40_000):
+        own = [f"v{5 * n + j}" for j in range(5)]
+        a, b = (near_dedup.signature(shingler.shingles(" ".join(x)), by) for x in (own[:4], own))
+        if (a == b).sum() < 64:
+            pairs.append(own)
+    assert len(pairs) > 10
+    docs = spark.createDataFrame([(2 * i + j, " ".join(own[: 4 + j])) for i, own in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, k=1).collect()} == {d: d - d % 2 for d in range(2 * len(pairs))}
+
+
 def test_shared_bound():
     rng = np.random.default_rng(7)
     for size in (0, 5, 300, 20_000, 400_000):
