@@ -13,11 +13,12 @@ window's terms, rarest in that segment first, are shifted by the term's offset
 and intersected.  ``proximity_matches`` does the same with a tolerance.
 
 The benchmark is asked in blocks of ``BLOCK_CHARS`` characters, so that each
-broadcast has a proven bound; hits of several blocks are merged by document.
+broadcast has a proven bound; hits of several blocks are merged by segment and
+place in it, so by input row.
 
 Defined results: null and empty texts have no words and are never hit; an item
-without words matches nothing; repeated rows are judged one by one where their
-doc_id differs, and share one result row per input row otherwise; an empty
+without words matches nothing; repeated rows and rows with a null doc_id are
+judged one by one; an empty
 benchmark hits nothing; an empty table gives an empty result; columns other
 than the id and the text are not read.
 """
@@ -25,6 +26,7 @@ than the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
-INDEX_SCHEMA = "doc_ids array<long>, doc_starts array<long>, n_words array<int>, terms binary, term_counts binary, steps binary"
+INDEX_SCHEMA = "segment string, doc_ids array<long>, doc_starts array<long>, n_words array<int>, terms binary, term_counts binary, steps binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,6 +83,7 @@ class _Segment:
             np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[counts > 0]
         ]  # each term's list starts anew
         return {
+            "segment": uuid.uuid4().hex,
             "doc_ids": self.ids,
             "doc_starts": self.starts,
             "n_words": self.sizes,
@@ -95,7 +98,7 @@ def _arrow_schema(**kinds) -> pa.Schema:
 
 
 _INDEX_ARROW = _arrow_schema(
-    doc_ids=pa.list_(pa.int64()), doc_starts=pa.list_(pa.int64()), n_words=pa.list_(pa.int32()),
+    segment=pa.string(), doc_ids=pa.list_(pa.int64()), doc_starts=pa.list_(pa.int64()), n_words=pa.list_(pa.int32()),
     terms=pa.binary(), term_counts=pa.binary(), steps=pa.binary(),
 )
 
@@ -183,9 +186,9 @@ def _windows(block: list[tuple], size: int) -> list[tuple[tuple[bytes, ...], lis
     return [(w, sorted(items)) for w, items in found.items()]
 
 
-_HITS = "doc_id long, seg_doc int, n_words int, spans array<int>, items array<string>"
+_HITS = "segment string, doc_id long, seg_doc int, n_words int, spans array<int>, items array<string>"
 _HITS_ARROW = _arrow_schema(
-    doc_id=pa.int64(), seg_doc=pa.int32(), n_words=pa.int32(), spans=pa.list_(pa.int32()), items=pa.list_(pa.string())
+    segment=pa.string(), doc_id=pa.int64(), seg_doc=pa.int32(), n_words=pa.int32(), spans=pa.list_(pa.int32()), items=pa.list_(pa.string())
 )
 
 
@@ -220,6 +223,7 @@ def phrase_hits(index: DataFrame, benchmark: DataFrame, *, id_col: str = "item_i
                         ks = range(at, min(at + 4096, len(ids)))
                         yield pa.RecordBatch.from_pydict(
                             {
+                                "segment": [row["segment"]] * len(ks),
                                 "doc_id": [ids[k] for k in ks],
                                 "seg_doc": list(ks),
                                 "n_words": [sizes[k] for k in ks],
@@ -234,8 +238,8 @@ def phrase_hits(index: DataFrame, benchmark: DataFrame, *, id_col: str = "item_i
     if len(parts) > 1:
         for p in parts[1:]:
             hits = hits.unionByName(p)
-        # a document has one row per block; repeated rows of a document stay apart by their place
-        merged = hits.groupBy("doc_id", "seg_doc", "n_words").agg(
+        # a document has one row per block; repeated rows of a document stay apart by segment and place
+        merged = hits.groupBy("segment", "doc_id", "seg_doc", "n_words").agg(
             F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )
         hits = merged.withColumn("spans", _union_column())

@@ -310,6 +310,17 @@ def test_quality_model(spark, docs, nothing):
     assert quality_model.score(nothing, model).count() == 0
 
 
+def test_decontamination_rows_stay_apart(spark):
+    """Rows of different segments with the same or no doc_id, by one block and by several."""
+    docs = spark.createDataFrame([(None, "a b c"), (None, "x y z"), (7, "a b c"), (7, "x y z"), (7, "a b c")], "doc_id long, text string").repartition(1)
+    bench = spark.createDataFrame([("p", "a b c"), ("q", "x y z"), ("r", "no such words")], "item_id string, text string")
+    index = decontaminate.build_index(docs, 1)
+    want = [(None, ["p"]), (None, ["q"]), (7, ["p"]), (7, ["p"]), (7, ["q"])]
+    for chars in (4, 4_000_000):
+        got = decontaminate.phrase_hits(index, bench, window=3, block_chars=chars).collect()
+        assert sorted(((r.doc_id, r["items"]) for r in got), key=lambda x: (x[0] or 0, x[1])) == want and {(r.n_words, r.n_hit) for r in got} == {(3, 3)}
+
+
 def test_lm_score(rows, docs, nothing):
     tokens = {i: [*words(t), None] for i, t in rows}
     count = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
