@@ -17,7 +17,8 @@ broadcast has a proven bound; hits of several blocks are merged by segment and
 place in it, so by input row.
 
 Defined results: null and empty texts have no words and are never hit; an item
-without words matches nothing; repeated rows and rows with a null doc_id are
+without words matches nothing; windows of an item with a null id count in n_hit,
+but it has no place in items, n_items and items_sha256; repeated rows and rows with a null doc_id are
 judged one by one; an empty
 benchmark hits nothing; an empty table gives an empty result; columns other
 than the id and the text are not read.
@@ -170,7 +171,7 @@ class _Postings:
 
 def _blocks(benchmark: DataFrame, id_col: str, block_chars: int) -> Iterator[list[tuple]]:
     """The items, in blocks of about ``block_chars`` characters at most."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), "text").dropna()
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), "text").dropna(subset=["text"])
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
     for k in range(n):
@@ -182,7 +183,7 @@ def _windows(block: list[tuple], size: int) -> list[tuple[tuple[bytes, ...], lis
     found: dict[tuple[bytes, ...], set[str]] = {}
     for item, words in block:
         for k in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(tuple(words[k : k + size]), set()).add(item)
+            found.setdefault(tuple(words[k : k + size]), set()).update([] if item is None else [item])
     return [(w, sorted(items)) for w, items in found.items()]
 
 

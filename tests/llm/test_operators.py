@@ -321,6 +321,15 @@ def test_decontamination_rows_stay_apart(spark):
         assert sorted(((r.doc_id, r["items"]) for r in got), key=lambda x: (x[0] or 0, x[1])) == want and {(r.n_words, r.n_hit) for r in got} == {(3, 3)}
 
 
+def test_decontamination_item_without_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (3, "n o t")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (None, "x y z"), ("q", "x y z"), ("r", None)], "item_id string, text string")
+    for chars in (4, 4_000_000):
+        got = {r.doc_id: tuple(r)[2:] for r in decontaminate.contamination(docs, bench, window=3, block_chars=chars).collect()}
+        assert got == {1: (3, 0, decontaminate.item_digest([]), True), 2: (3, 1, decontaminate.item_digest(["q"]), True), 3: (0, 0, decontaminate.item_digest([]), False)}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_lm_score(rows, docs, nothing):
     tokens = {i: [*words(t), None] for i, t in rows}
     count = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
