@@ -158,11 +158,12 @@ def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", default: st
     built = {v: build_cascade(spark.createDataFrame([(k,) for k in keys], "key string"), universe) for v, keys in lists.items()}
     if sum(c.size for c in built.values()) > BROADCAST_BYTES:
         listed = spark.createDataFrame(list(verdicts.items()), "rule string, verdict string")
-        hit = keyed.select("*", F.posexplode_outer("keys").alias("pos", "rule")).join(listed, "rule", "left").groupBy(id_col, "host", "path").agg(
+        keyed = materialize(keyed.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        hit = keyed.select("*", F.posexplode_outer("keys").alias("pos", "rule")).join(listed, "rule", "left").groupBy("_row", id_col, "host", "path").agg(
             F.min_by("rule", F.when(F.col("verdict").isNotNull(), F.col("pos"))).alias("rule"),
             F.min_by("verdict", F.when(F.col("verdict").isNotNull(), F.col("pos"))).alias("verdict"),
         )
-        return hit.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+        return hit.drop("_row").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     sent = spark.sparkContext.broadcast({v: c.levels for v, c in built.items()})
     depth = max((len(c.levels) for c in built.values()), default=0)
     fields = [rows.schema[id_col]]

@@ -330,6 +330,14 @@ def test_decontamination_item_without_id(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
 
 
+def test_url_filter_join_keeps_rows(spark, monkeypatch):
+    rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (None, "http://a.org/fr/"), (None, "http://a.org/fr/?q"), (None, None), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(map(str, url_filter.judge(pages).collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, url_filter.judge(pages).collect())) == want and len(want) == len(rows)
+
+
 def test_lm_score(rows, docs, nothing):
     tokens = {i: [*words(t), None] for i, t in rows}
     count = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
