@@ -16,7 +16,7 @@ tokens a partition.
 
 Defined results: null and empty texts give the end id alone, one piece; repeated
 rows are packed one by one; an empty table gives no pieces; columns other than
-``doc_id`` and ``text`` are not read.  Every id lies in exactly one piece.
+``doc_id``, ``text`` and a loss mask are not read.  Every id lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -155,9 +155,11 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with_ids: bool = False, **limits) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with_ids: bool = False, loss: str | None = None, **limits) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text), in sequences; ``with_ids``
-    adds the piece's ids as an array column."""
+    adds the piece's ids as an array column.  ``loss`` names an array<boolean>
+    column: for each id of the document, the end id included, whether the loss
+    counts it; null: all but the first."""
     tokenizer = tokenizer or default_tokenizer()
     fields = [(x, pa.int64()) for x in _NAMES] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
     schema = pa.schema(fields)
@@ -185,10 +187,13 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with
 
         for batch in batches:
             for some in slices(batch):
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    packer.add(Piece(doc, 0, ids, len(ids) // 4))
+                masks = some.column(2).to_pylist() if loss else [None] * some.num_rows
+                for doc, ids, mask in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), masks, strict=True):
+                    if mask is not None and len(mask) != len(ids) // 4:
+                        raise ValueError(f"doc_id {doc}: {len(mask)} loss flags for {len(ids) // 4} ids")
+                    packer.add(Piece(doc, 0, ids, len(ids) // 4, None if mask is None else np.array(mask, bool)))
                 if packer.done:
                     yield rows(packer.take())
         yield rows(packer.finish())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECE + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text", *([loss] if loss else [])).mapInArrow(run, _PIECE + (", ids array<int>" if with_ids else ""))

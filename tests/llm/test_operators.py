@@ -338,6 +338,20 @@ def test_url_filter_join_keeps_rows(spark, monkeypatch):
     assert sorted(map(str, url_filter.judge(pages).collect())) == want and len(want) == len(rows)
 
 
+def test_packing_loss_mask(spark, docs):
+    """A loss mask reaches the packer: no sequence has more loss-bearing tokens than its limit."""
+    plain = packing.pack(docs.filter("doc_id < 10000")).select("doc_id", "doc_tokens").distinct()
+    masked = docs.join(plain, "doc_id").selectExpr("doc_id", "text", "transform(sequence(0, cast(doc_tokens as int) - 1), x -> x % 2 = 0) as mask").persist()
+    size = {r.doc_id: r.doc_tokens for r in plain.collect()}
+    pieces = packing.pack(masked, loss="mask", max_tokens=64, max_loss=20).collect()
+    borne, covered = collections.Counter(), collections.Counter()
+    for p in pieces:
+        borne[p.sequence_id] += sum(k % 2 == 0 for k in range(p.start, p.start + p.length))
+        covered[p.doc_id] += p.length
+    assert max(borne.values()) <= 20 and covered == size
+    assert masked.unpersist() is not None
+
+
 def test_lm_score(rows, docs, nothing):
     tokens = {i: [*words(t), None] for i, t in rows}
     count = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
