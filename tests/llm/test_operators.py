@@ -352,6 +352,13 @@ def test_packing_loss_mask(spark, docs):
     assert masked.unpersist() is not None
 
 
+def test_bench_names():
+    import bench
+    from lodestone.llm import queries
+
+    assert {*queries.queries(), "pipeline"} <= set(bench.NAMES)
+
+
 def test_lm_score(rows, docs, nothing):
     tokens = {i: [*words(t), None] for i, t in rows}
     count = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
