@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,8 +26,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of every end of an edge; component is the smallest id
-    reachable.  Loops and repeated edges do no harm."""
+    """(id, comp) of every end of an edge, as a written table; comp is the smallest
+    id reachable.  Loops and repeated edges do no harm."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now = materialize(pairs, "edges")
 
@@ -37,10 +37,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     last = mark(now)
     while last[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = materialize(_star(_star(both, True), False).distinct(), "edges")
-        seen = mark(now)
+        after = materialize(_star(_star(both, True), False).distinct(), "edges")
+        discard(now)
+        now, seen = after, mark(after)
         if seen == last:
             break
         last = seen
-    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    roots = now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
+    out = materialize(now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots), "components")
+    discard(now)
+    return out

@@ -221,17 +221,87 @@ def test_near_dedup(spark, rows, docs, nothing, k):
         assert near_dedup.near_duplicates(nothing, k=k).count() == 0
 
 
+def test_near_dedup_recall():
+    """Of pairs between 0.80 and 0.85 alike, hardly any falls below a match threshold."""
+    matches, coords = near_dedup.thresholds(80)
+    rng, missed, tried = np.random.default_rng(3), 0, 0
+    for shared, union in ((4, 5), (9, 11), (40, 50), (42, 50), (160, 200), (1600, 2000)):
+        for _ in range(4_000 if union < 1_000 else 500):
+            pool = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+            own = (union - shared) // 2
+            a, b = (near_dedup.signature(np.sort(x)) for x in (pool[: shared + own], pool[own:]))
+            keys = near_dedup._keys(np.stack([a, b]))
+            sketch = near_dedup._sketch(np.stack([a, b]))
+            differ = (a != b).sum()
+            assert near_dedup.differing(sketch[:1], sketch[1], 64)[0] <= differ
+            missed += differ > near_dedup.MINIMA - matches or (keys[0] == keys[1]).sum() < coords
+            tried += 1
+    assert tried > 20_000 and missed <= tried * 1e-4, missed
+
+
 def test_near_dedup_at_the_threshold(spark):
-    """Sets with 4 of 5 shingles in common whose signatures agree in fewer than two thirds are linked."""
-    by, shingler, pairs = near_dedup._multipliers(near_dedup.COORDS), near_dedup.Shingler(1), []
-    for n in range(40_000):
-        own = [f"v{5 * n + j}" for j in range(5)]
-        a, b = (near_dedup.signature(shingler.shingles(" ".join(x)), by) for x in (own[:4], own))
-        if (a == b).sum() < 64:
-            pairs.append(own)
-    assert len(pairs) > 10
-    docs = spark.createDataFrame([(2 * i + j, " ".join(own[: 4 + j])) for i, own in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, k=1).collect()} == {d: d - d % 2 for d in range(2 * len(pairs))}
+    """Sets of exactly 0.8 similarity are linked, also where few minima agree."""
+    texts = []
+    for n in range(1_500):
+        own = [f"v{50 * n + j}" for j in range(50 if n % 3 == 0 else 5)]
+        texts += [" ".join(own[: len(own) * 4 // 5]), " ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, k=1).collect()} == {d: d - d % 2 for d in range(len(texts))}
+
+
+def test_near_dedup_long_lists(spark, monkeypatch):
+    """Long lists, dealt to several tasks, give the components of brute force."""
+    for name, value in (("BLOCK", 12), ("GROUP", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng, texts = np.random.default_rng(11), []
+    for n in range(260):
+        own = [f"w{x}" for x in range(60)]
+        for at in rng.integers(0, 60, int(rng.integers(0, 22))):
+            own[at] = f"x{rng.integers(0, 90)}"
+        texts.append((n, " ".join(own)))
+    want = exact_components(texts, 1)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(docs, k=1).collect()} == want
+    assert 1 < len({x[1] for x in want.values()}) < 200
+
+
+def test_near_dedup_repeated_ids(spark):
+    """Rows of one doc_id are one document; rows without an id stand alone."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(2, one), (5, one), (5, two), (9, two + " end"), (None, one), (None, three), (7, ""), (5, None), (8, three), (8, three), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `row` string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, k=2).collect()), key=str)
+    assert got == sorted([(2, 2, True), (5, 2, False), (5, 2, False), (5, 2, False), (9, 2, False), (7, 7, True), (8, 8, True), (8, 8, True), *[(None, None, True)] * 3], key=str)
+    left = near_dedup.drop_near_duplicates(docs, k=2)
+    assert left.columns == docs.columns and sorted((tuple(r)[:2] for r in left.collect()), key=str) == sorted([r for r in rows if r[0] not in (5, 9)], key=str)
+
+
+def test_shingles():
+    """Words and sets of batches are those of single texts, however they are cut."""
+    import pyarrow as pa
+
+    from lodestone.llm import shingles
+
+    rng = np.random.default_rng(5)
+    texts = ["", None, " a ", "A b\tc\x0b\x0c\rd\ne", "x" * 9_000, "é İ a", *["".join(rng.choice(list("aAbB \n"), int(n))) for n in rng.integers(0, 400, 60)], "q r " * 3_000, "z" * 5_000 + " z"]
+    old = shingles.PIECE
+    try:
+        for piece in (64, 1 << 17):
+            shingles.PIECE = piece
+            column = pa.array(["skipped", *texts])[1:]
+            hashes, before = shingles.word_hashes(column)
+            every = [words(t) for t in texts]
+            assert np.diff(before).tolist() == [len(w) for w in every]
+            names = {}
+            for w, h in zip([w for own in every for w in own], hashes.tolist(), strict=True):
+                assert names.setdefault(w, h) == h
+            assert len(set(names.values())) == len(names)
+            for k in (1, 2, 5):
+                want = [len({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}) if w else 0 for w in every]
+                assert [len(s) for s in shingles.shingle_sets(column, k)] == want
+            assert [x for low, high in shingles.by_bytes(column, 100) for x in range(low, high)] == list(range(len(texts)))
+    finally:
+        shingles.PIECE = old
 
 
 def test_shared_bound():
