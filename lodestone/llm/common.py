@@ -17,7 +17,7 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WS = r"[\x20\x09-\x0D]"
 
 #: Rows of a few integers each that may be broadcast; beyond, a shuffle join.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None

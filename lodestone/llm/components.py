@@ -25,24 +25,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads to its component's smallest id: no id has two edges
+    down, or one down and one up."""
+    down, up = edges.selectExpr("u as id", "1 as down", "0 as up"), edges.selectExpr("v as id", "0 as down", "1 as up")
+    ends = down.unionByName(up).groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down + up > 1 and down > 0").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) of every end of an edge, as a written table; comp is the smallest
     id reachable.  Loops and repeated edges do no harm."""
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now = materialize(pairs, "edges")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    last = mark(now)
-    while last[0]:
+    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         after = materialize(_star(_star(both, True), False).distinct(), "edges")
         discard(now)
-        now, seen = after, mark(after)
-        if seen == last:
-            break
-        last = seen
+        now = after
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     out = materialize(now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots), "components")
     discard(now)

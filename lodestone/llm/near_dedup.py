@@ -71,7 +71,7 @@ BUCKETS = 1024
 #: Members that one task compares with a leader, at most.
 GROUP = 512
 #: Members of a list that meet in one task.
-BLOCK = 4096
+BLOCK = 1024
 #: Lists up to this length are compared member by member, all lists at once.
 SHORT = 16
 
