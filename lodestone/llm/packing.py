@@ -10,13 +10,17 @@ product.  At the end of a partition the open sequences are merged by cutting,
 and a sequence that stays short is split at powers of two, where no padding is
 needed.
 
+Plain documents come without a loss mask: all ids but a document's first bear
+loss, and the limit of loss-bearing tokens is that of tokens unless it is given,
+so it decides nothing for them; the limits of tokens and segments do.
+
 Each task packs its own partition: no shuffle, bounded memory, and a task that
 runs again on another executor gives the same rows.  Padding is at most a few
 tokens a partition.
 
 Defined results: null and empty texts give the end id alone, one piece; repeated
-rows are packed one by one; an empty table gives no pieces; columns other than
-``doc_id``, ``text`` and a loss mask are not read.  Every id lies in exactly one piece.
+rows and rows with a null doc_id are packed one by one; an empty table gives no
+pieces; columns other than ``doc_id``, ``text`` and a loss mask are not read.  Every id lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .tokens import CachedEncoder, default_tokenizer
+from .common import slices, trimmed
+from .tokens import default_tokenizer, encoder
 
-MAX_TOKENS, MAX_SEGMENTS, OPEN_SEQUENCES = 4096, 256, 64
+#: A sequence attends to each of its segments apart, which bounds their number.
+MAX_TOKENS, MAX_SEGMENTS, OPEN_SEQUENCES = 4096, 8, 64
 
 
 class Piece:
@@ -167,7 +172,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = CachedEncoder(tokenizer, end_id), Packer(**limits)
+        coder, packer = encoder(tokenizer, end_id), Packer(**limits)
         number = TaskContext.get().partitionId() << 32
 
         def rows(sequences: list[list[Piece]]) -> pa.RecordBatch:
@@ -188,7 +193,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with
         for batch in batches:
             for some in slices(batch):
                 masks = some.column(2).to_pylist() if loss else [None] * some.num_rows
-                for doc, ids, mask in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), masks, strict=True):
+                for doc, ids, mask in zip(some.column(0).to_pylist(), coder.encode(some.column(1)), masks, strict=True):
                     if mask is not None and len(mask) != len(ids) // 4:
                         raise ValueError(f"doc_id {doc}: {len(mask)} loss flags for {len(ids) // 4} ids")
                     packer.add(Piece(doc, 0, ids, len(ids) // 4, None if mask is None else np.array(mask, bool)))
@@ -196,4 +201,4 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with
                     yield rows(packer.take())
         yield rows(packer.finish())
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *([loss] if loss else [])).mapInArrow(run, _PIECE + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text", *([loss] if loss else [])).mapInArrow(trimmed(run), _PIECE + (", ids array<int>" if with_ids else ""))

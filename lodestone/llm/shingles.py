@@ -18,15 +18,25 @@ PIECE = 1 << 17
 
 _U = np.uint64
 _M1, _M2, _M3 = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _BASE = _RNG.integers(0, 1 << 63, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS = np.cumprod(np.full(4096, _BASE, np.uint64), dtype=np.uint64)
 
 
+def _kind(space: list[int], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes part words, and the value of each byte; ``lower``: A-Z count as a-z."""
+    parts, value = np.zeros(256, bool), _BYTE.copy()
+    parts[space] = True
+    if lower:
+        value[65:91] = value[97:123]
+    return parts, value
+
+
+#: Words between \x20 and \x09-\x0D, lower-cased; runs between spaces and newlines, as they are.
+LOWER, PLAIN = _kind([0x20, *range(0x09, 0x0E)], True), _kind([0x20, 0x0A], False)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit integers; equal for equal ones only."""
     x = (x ^ (x >> _U(30))) * _M2
@@ -34,10 +44,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``data`` and the places where they begin; no word
-    crosses a place in ``bounds``."""
-    inside = ~_SPACE[data]
+def _hash_piece(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    inside = ~parts[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[bounds] = inside[bounds]
@@ -47,10 +55,31 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     place = np.arange(len(letters)) - np.repeat(first, sizes)
     longest = int(sizes.max(initial=0))
     powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _BASE, np.uint64), dtype=np.uint64)
-    value = _BYTE[letters]
+    value = values[letters]
     value *= powers[place]
     sums = np.add.reduceat(value, first) if len(first) else np.empty(0, np.uint64)
-    return mixed(sums + sizes.astype(np.uint64) * _M1), np.flatnonzero(begins)
+    return mixed(sums + sizes.astype(np.uint64) * _M1), np.flatnonzero(begins), sizes
+
+
+def hashed_runs(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of ``data``, the places where they begin and their sizes;
+    no word crosses a place in ``bounds`` (ascending)."""
+    out: list[tuple] = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    low = 0
+    while low < len(data):
+        high = min(len(data), low + PIECE)
+        if high < len(data):  # back to the last white space, or on to the next
+            back = np.flatnonzero(parts[data[low:high]])
+            if len(back):
+                high = low + int(back[-1]) + 1
+            while not len(back) and high < len(data):
+                back = np.flatnonzero(parts[data[high : high + PIECE]])
+                high += int(back[0]) + 1 if len(back) else min(PIECE, len(data) - high)
+        x, y = np.searchsorted(bounds, (low, high))
+        hashes, begins, sizes = _hash_piece(data[low:high], bounds[x:y] - low, parts, values)
+        out.append((hashes, begins + low, sizes))
+        low = high
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,23 +98,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, in order, and the number of words before each text."""
     data, at = text_bytes(texts)
-    hashes, counts, low = [], np.zeros(len(at), np.int64), 0
-    while low < len(data):
-        high = min(len(data), low + PIECE)
-        if high < len(data):  # back to the last white space, or on to the next
-            back = np.flatnonzero(_SPACE[data[low:high]])
-            if len(back):
-                high = low + int(back[-1]) + 1
-            while not len(back) and high < len(data):
-                on = np.flatnonzero(_SPACE[data[high : high + PIECE]])
-                back, high = on, high + (int(on[0]) + 1 if len(on) else min(PIECE, len(data) - high))
-        x, y = np.searchsorted(at, (low, high))
-        own, begins = _hash_piece(data[low:high], at[x:y][at[x:y] < high] - low)
-        hashes.append(own)
-        counts[x:y] += np.searchsorted(begins, at[x:y] - low)
-        counts[y:] += len(begins)
-        low = high
-    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
+    hashes, begins, _ = hashed_runs(data, at[:-1][at[:-1] < len(data)], *LOWER)
+    return hashes, np.searchsorted(begins, at)
 
 
 def by_bytes(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:

@@ -2,10 +2,12 @@
 
 The tokenizers of this kind drop white space and never join characters across
 it, so the ids of a text are the ids of its pieces between spaces and newlines.
-``CachedEncoder`` encodes each distinct piece once per worker (as long as its
-bounded cache holds it) and joins the stored bytes.  A piece of plain letters,
-with punctuation behind it or not, is one word to the pre-tokenizer and goes
-straight to the library's merge model; any other piece takes the library's
+``CachedEncoder`` hashes all pieces of a chunk at once (64 bits) and looks them
+up in a table of fixed size; only pieces that are not there go to the library,
+each distinct one once, and the ids of whole texts are gathered by array
+operations.  A worker keeps its encoder from task to task.  A piece of plain
+letters, with punctuation behind it or not, is one word to the pre-tokenizer and
+goes straight to the library's merge model; any other piece takes the library's
 whole path.  Where a tokenizer's own settings do not allow that, every piece
 does.  ``tests/llm`` compares the result with encoding whole texts.
 """
@@ -15,8 +17,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from .shingles import PLAIN, by_bytes, hashed_runs, text_bytes
 
 #: Letters whose lower case and normal form are themselves single letters.
 _WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
@@ -50,8 +58,9 @@ def default_tokenizer() -> str:
 class CachedEncoder:
     """Texts to little-endian unsigned 32-bit ids, with an end id after each."""
 
-    #: Pieces kept, and the longest that is kept.
-    LIMIT, LONGEST = 300_000, 48
+    #: Slots of the table, ids kept for them, distinct words kept for the merge
+    #: model, and bytes of text encoded at once.
+    SLOTS, POOL, WORDS, CHUNK = 1 << 20, 4_000_000, 100_000, 1 << 18
 
     def __init__(self, path: str, end_id: int = 2) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,9 +69,23 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.plain = _is_plain(self.tokenizer)
-        self.tails: dict[str, bytes] = {"": b""}
         self.end = int(end_id).to_bytes(4, "little")
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.first, self.many = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Put ids behind those in the pool; where they begin."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.empty(max(len(self.pool), self.used - at), np.uint32)])
+        self.pool[at : self.used] = ids
+        return at
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -70,40 +93,56 @@ class CachedEncoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         if not self.plain:
             return self._whole(pieces)
-        out: list[bytes | None] = [None] * len(pieces)
-        split, known, letters = self.model.tokenize, self.known, self.letters
-        other = []
-        for k, piece in enumerate(pieces):
-            m = _WORD.fullmatch(piece)
-            if m is None:
-                other.append(k)
-                continue
-            word, tail = m[1].lower(), m[2]
-            ids = known.get(word)
-            if ids is None:
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-                ids = known[word] = b"".join([t.id.to_bytes(4, "little") for t in split(shown)])
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails = {"": b""}
-                self.tails[tail] = self._whole([tail])[0]
-            out[k] = ids + self.tails[tail]
-        for k, ids in zip(other, self._whole([pieces[k] for k in other]), strict=True):
-            out[k] = ids
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > self.LIMIT:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) + self.end for words in split]
-        for w in new:
-            if len(w) > self.LONGEST:
-                del known[w]
-        return out
+        if len(self.words) > self.WORDS:
+            self.words.clear()
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        words, tails, letters, split = self.words, self.tails, self.letters, self.model.tokenize
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are little-endian 32-bit integers")
+        parted = [m and (m[1].lower(), m[2]) for m in map(_WORD.fullmatch, pieces)]
+        for word in {x[0] for x in parted if x and x[0] not in words}:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+            words[word] = array("I", [t.id for t in split(shown)]).tobytes()
+        more = list({x[1] for x in parted if x and x[1] not in tails})
+        tails.update(zip(more, self._whole(more), strict=True))
+        rest = iter(self._whole([p for p, x in zip(pieces, parted, strict=True) if not x]))
+        return [words[x[0]] + tails[x[1]] if x else next(rest) for x in parted]
+
+    def _chunk(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = text_bytes(texts)
+        hashes, begins, sizes = hashed_runs(data, offsets[:-1][offsets[:-1] < len(data)], *PLAIN)
+        hashes |= np.uint64(1)  # no key is 0
+        if self.used > self.POOL:
+            self._clear()
+        slot = (hashes >> np.uint64(44)).astype(np.int64) & (self.SLOTS - 1)  # a piece has two places
+        other = np.flatnonzero(self.keys[slot] != hashes)
+        slot[other] = (hashes[other] >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+        first, many = self.first[slot], self.many[slot]
+        miss = other[self.keys[slot[other]] != hashes[other]]
+        if len(miss):
+            new, at, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            places = zip(begins[miss[at]].tolist(), sizes[miss[at]].tolist(), strict=True)
+            whole = data.tobytes()
+            raw = self._ids([whole[b : b + n].decode() for b, n in places])
+            lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            starts = self._keep(np.frombuffer(b"".join(raw), "<u4")) + np.cumsum(lengths) - lengths
+            first[miss], many[miss] = starts[back], lengths[back]
+            into = (new >> np.uint64(44)).astype(np.int64) & (self.SLOTS - 1)
+            into = np.where(self.keys[into] == 0, into, slot[miss[at]])
+            self.keys[into], self.first[into], self.many[into] = new, starts, lengths
+        ends = np.cumsum(many, dtype=np.int64)
+        ids = self.pool[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4", copy=False).tobytes()
+        cuts = np.concatenate([[0], ends])[np.searchsorted(begins, offsets)].tolist()
+        return [ids[4 * a : 4 * b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        return [x for low, high in by_bytes(texts, self.CHUNK) for x in self._chunk(texts[low:high])]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> CachedEncoder:
+    """The worker's own encoder."""
+    return CachedEncoder(path, end_id)
