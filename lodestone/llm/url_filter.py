@@ -9,19 +9,22 @@ listed keys that level 1 holds wrongly, and so on until a level has no false
 positives.  The universe is every distinct candidate key of the corpus, so the
 answer for any of them is exact, without a join.
 
-Levels are built by Spark's bitmap aggregates, with partial aggregation.  The
-listed keys only are at hand on the driver; level sizes follow the list and
-shrink geometrically.  A cascade is broadcast if it has at most
-``BROADCAST_BYTES``; a larger list is matched by a left join with its keys.
+A level is dealt by key hash to shards of about ``SHARD_KEYS`` keys.  Spark's
+bitmap aggregates build them, with partial aggregation; the tasks that hold a
+shard's bitmaps write it as a flat file to the shared folder, and the tasks that
+ask it map the file.  Neither lists nor filters pass through the driver, and a
+list of any size takes the same way.
 
 Defined results: a null url or one without ``://`` has an empty host and path
 and fits no rule; repeated rows are judged one by one; an empty list builds an
-empty cascade; an empty table gives an empty result; columns other than the id
-and ``url`` are not read.
+empty cascade; a rule listed twice has the first of its verdicts in alphabetical
+order; an empty table gives an empty result; columns other than the id and
+``url`` are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -31,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fitting, materialize, scratch_path
+from .files import Mapped, writer
 
-#: Bits per key and hash functions of a level.
-BITS, HASHES = 10, 4
-BROADCAST_BYTES = 64 << 20
+#: Bits per key and hash functions of a level, and keys in one shard of it, about.
+BITS, HASHES, SHARD_KEYS = 10, 4, 1_000_000
+#: Shards that a task holds open at once.
+OPEN = 256
 _BUCKET = 32_768  # bits of one aggregate bitmap in Spark
 
 #: The rules of op4 (host/path, verdict).
@@ -43,23 +48,50 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 
 @dataclass(frozen=True)
+class Level:
+    """A Bloom filter in files: bits of each shard, number of shards, and the
+    files of those that hold keys."""
+
+    bits: int
+    shards: int
+    files: dict[int, str]
+
+
 class Cascade:
-    """levels: (bits of the filter, filter bytes)."""
-
-    levels: tuple[tuple[int, bytes], ...]
-
-    @property
-    def size(self) -> int:
-        return sum(len(b) for _, b in self.levels)
-
-    def holds(self, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """hashes: per level, two 64-bit hashes of each key."""
-        n = len(hashes[0][0]) if hashes else 0
-        inside = np.zeros(n, bool)
-        active = np.ones(n, bool)
-        for level, (bits, data) in enumerate(self.levels):
-            active = active & _probe(np.frombuffer(data, np.uint8), bits, *hashes[level])
-            inside = np.where(active, level % 2 == 0, inside)
+    def __init__(self, levels: list[Level]) -> None:
+        self.levels = levels
+        self.open: dict[str, tuple[Mapped, np.ndarray]] = {}
+
+    def __getstate__(self) -> list[Level]:
+        return self.levels
+
+    def __setstate__(self, levels: list[Level]) -> None:
+        self.__init__(levels)
+
+    def _shard(self, url: str) -> np.ndarray:
+        if url not in self.open:
+            if len(self.open) >= OPEN:
+                self.open.pop(next(iter(self.open)))
+            file = Mapped(url)
+            self.open[url] = file, np.frombuffer(file.read(), np.uint8)
+        return self.open[url][1]
+
+    def passes(self, level: int, shard: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Whether a level lets keys through, by their shard hash and its two hashes."""
+        own = self.levels[level]
+        of, out = np.mod(shard, own.shards), np.zeros(len(shard), bool)
+        for s in np.unique(of):
+            if int(s) in own.files:
+                at = np.flatnonzero(of == s)
+                out[at] = _probe(self._shard(own.files[int(s)]), own.bits, h1[at], h2[at])
+        return out
+
+    def holds(self, shard: np.ndarray, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether keys are listed; hashes: two 64-bit ones for each level."""
+        inside, active = np.zeros(len(shard), bool), np.arange(len(shard))
+        for level in range(len(self.levels)):
+            active = active[self.passes(level, shard[active], *(h[active] for h in hashes[level]))]
+            inside[active] = level % 2 == 0
         return inside
 
 
@@ -76,48 +108,67 @@ def _hash(level: int, which: int, key: Column) -> Column:
     return F.xxhash64(F.lit(2 * level + which), key)
 
 
-def _build_level(keys: DataFrame, level: int, n: int) -> tuple[int, bytes]:
-    bits = max(64, -(-n * BITS // 8) * 8)
-    a, b = (F.pmod(_hash(level, w, F.col("key")), F.lit(bits)) for w in (0, 1))
-    at = keys.select(F.explode(F.array(*[F.pmod(a + i * b, F.lit(bits)) for i in range(HASHES)])).alias("at"))
-    rows = (
-        at.groupBy((F.col("at") / _BUCKET).cast("long").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BUCKET))).alias("bitmap"))
-        .collect()
-    )
-    out = np.zeros(-(-bits // _BUCKET) * _BUCKET // 8, np.uint8)
-    for r in rows:
-        piece = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-        out[r["bucket"] * _BUCKET // 8 :][: len(piece)] |= piece
-    return bits, out[: bits // 8].tobytes()
+def _shard_hash(key: Column) -> Column:
+    return F.xxhash64(F.lit(-1), key)
 
 
-def _passing(keys: DataFrame, level: int, built: tuple[int, bytes]) -> DataFrame:
-    """The keys that a level lets through."""
-    bits, data = built
-    sent = keys.sparkSession.sparkContext.broadcast(data)
+def _build_level(keys: DataFrame, level: int, n: int) -> Level:
+    shards = -(-n // SHARD_KEYS)
+    key, shard = F.col("key"), F.pmod(_shard_hash(F.col("key")), F.lit(shards)).cast("int")
+    most = keys.groupBy(shard.alias("shard")).count().agg(F.max("count")).first()[0]
+    bits = max(64, -(-most * BITS // 8) * 8)
+    a, b = (F.pmod(_hash(level, w, key), F.lit(bits)) for w in (0, 1))
+    at = keys.select(shard.alias("shard"), F.explode(F.array(*[F.pmod(a + i * b, F.lit(bits)) for i in range(HASHES)])).alias("at"))
+    bitmaps = at.groupBy("shard", (F.col("at") / _BUCKET).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BUCKET))).alias("bitmap"))
+    url = scratch_path(keys.sparkSession, "cascade")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come by shard and bucket; a shard's file is written as they come."""
+        own, names, file, opened, end = None, [], None, None, 0
+        for batch in batches:
+            for s, bucket, bitmap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != own:
+                    if opened is not None:
+                        file.write(bytes(bits // 8 - end))
+                        opened.__exit__(None, None, None)
+                    own, end = s, 0
+                    names.append((s, f"{url}/{level}-{s}-{uuid.uuid4().hex}"))
+                    opened = writer(names[-1][1])
+                    file = opened.__enter__()
+                start = bucket * _BUCKET // 8
+                piece = bitmap[: bits // 8 - start]
+                file.write(bytes(start - end) + piece)
+                end = start + len(piece)
+        if opened is not None:
+            file.write(bytes(bits // 8 - end))
+            opened.__exit__(None, None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in names], pa.int32()), pa.array([u for _, u in names], pa.string())], names=["shard", "file"])
+
+    files = bitmaps.repartition("shard").sortWithinPartitions("shard", "bucket").mapInArrow(write, "shard int, file string").collect()
+    return Level(bits, shards, {r["shard"]: r["file"] for r in files})
+
+
+def _passing(keys: DataFrame, cascade: Cascade) -> DataFrame:
+    """The keys that a cascade's last level lets through."""
+    level = len(cascade.levels) - 1
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            ok = _probe(filter_, bits, np.asarray(batch.column(1)), np.asarray(batch.column(2)))
+            ok = cascade.passes(level, *(np.asarray(batch.column(k)) for k in (1, 2, 3)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok))], names=["key"])
 
     key = F.col("key")
-    return keys.select("key", _hash(level, 0, key), _hash(level, 1, key)).mapInArrow(probe, "key string")
+    return keys.select("key", _shard_hash(key), _hash(level, 0, key), _hash(level, 1, key)).mapInArrow(probe, "key string")
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """listed and universe: distinct ``key``.  Keys outside the universe do no harm."""
-    rest = universe.join(F.broadcast(listed) if listed.count() <= 100_000 else listed, "key", "left_anti")
-    mine, other, levels = listed, materialize(rest, "universe"), []
-    while True:
-        n = mine.count()
-        if not n:
-            return Cascade(tuple(levels))
-        levels.append(_build_level(mine, len(levels), n))
-        wrong = materialize(_passing(other, len(levels) - 1, levels[-1]), "wrong")
-        mine, other = wrong, mine
+    rest = universe.join(fitting(listed, listed.count()), "key", "left_anti")
+    mine, other, cascade = listed, materialize(rest, "universe"), Cascade([])
+    while n := mine.count():
+        cascade.levels.append(_build_level(mine, len(cascade.levels), n))
+        mine, other = materialize(_passing(other, cascade), "wrong"), mine
+    return cascade
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -135,10 +186,10 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidates(host: Column, path: Column, rules: list[str]) -> Column:
-    """A URL's keys of the shapes that rules have, longest first."""
-    labels = sorted({split_rule(r)[0].count(".") + 1 for r in rules})
-    lengths = sorted({len(split_rule(r)[1]) for r in rules})
+def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """A URL's keys with those numbers of labels and lengths of path, longest first."""
+    if not labels:
+        return F.array().cast("array<string>")
     count = F.size(F.split(host, r"\."))
     hosts = F.array(*[F.when((count >= n) & (host != ""), F.substring_index(host, ".", -n)) for n in labels])
     paths = F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths])
@@ -147,34 +198,31 @@ def candidates(host: Column, path: Column, rules: list[str]) -> Column:
 
 
 def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", default: str = "allow") -> DataFrame:
-    """id, host, path, rule (the longest that fits, else null) and verdict."""
+    """id, host, path, rule (the longest that fits, else null) and verdict.
+
+    ``rules``: pairs of rule and verdict, or a DataFrame with these columns."""
     spark = pages.sparkSession
-    verdicts = dict(rules)
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "rule string, verdict string")
+    listed = materialize(rules.dropna().groupBy("rule").agg(F.min("verdict").alias("verdict")), "rules")
+    name = F.substring_index("rule", "/", 1)
+    shape = (F.size(F.split(name, r"\.")), F.char_length("rule") - F.char_length(name))
+    labels, lengths = (sorted(r[0] for r in listed.select(s).distinct().collect()) for s in shape)
     host, path = parts(F.col("url"))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    keyed = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), list(verdicts)))
+    keyed = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
     universe = materialize(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
-    lists = {v: [r for r in verdicts if verdicts[r] == v] for v in dict.fromkeys(verdicts.values())}
-    built = {v: build_cascade(spark.createDataFrame([(k,) for k in keys], "key string"), universe) for v, keys in lists.items()}
-    if sum(c.size for c in built.values()) > BROADCAST_BYTES:
-        listed = spark.createDataFrame(list(verdicts.items()), "rule string, verdict string")
-        keyed = materialize(keyed.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        hit = keyed.select("*", F.posexplode_outer("keys").alias("pos", "rule")).join(listed, "rule", "left").groupBy("_row", id_col, "host", "path").agg(
-            F.min_by("rule", F.when(F.col("verdict").isNotNull(), F.col("pos"))).alias("rule"),
-            F.min_by("verdict", F.when(F.col("verdict").isNotNull(), F.col("pos"))).alias("verdict"),
-        )
-        return hit.drop("_row").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    sent = spark.sparkContext.broadcast({v: c.levels for v, c in built.items()})
+    verdicts = sorted(r[0] for r in listed.select("verdict").distinct().collect())
+    built = {v: build_cascade(listed.filter(F.col("verdict") == v).select(F.col("rule").alias("key")), universe) for v in verdicts}
     depth = max((len(c.levels) for c in built.values()), default=0)
     fields = [rows.schema[id_col]]
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascades = {v: Cascade(levels) for v, levels in sent.value.items()}
         for batch in batches:
             lists_ = batch.column(3)
-            keys = lists_.flatten()
-            hashes = [(np.asarray(batch.column(4 + 2 * k).flatten()), np.asarray(batch.column(5 + 2 * k).flatten())) for k in range(depth)]
-            held = {v: c.holds(hashes[: len(c.levels)]) if c.levels else np.zeros(len(keys), bool) for v, c in cascades.items()}
+            keys, shard = lists_.flatten(), np.asarray(batch.column(4).flatten())
+            hashes = [tuple(np.asarray(batch.column(5 + 2 * k + w).flatten()) for w in (0, 1)) for k in range(depth)]
+            held = {v: c.holds(shard, hashes) for v, c in built.items()}
             owner = np.repeat(np.arange(batch.num_rows), [0 if n is None else n for n in lists_.value_lengths().to_pylist()])
             rule: list[str | None] = [None] * batch.num_rows
             verdict = [default] * batch.num_rows
@@ -187,7 +235,7 @@ def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", default: st
                 names=[fields[0].name, "host", "path", "rule", "verdict"],
             )
 
-    hashed = [
+    hashed = [F.transform("keys", _shard_hash).alias("shard")] + [
         F.transform("keys", partial(_hash, k, w)).alias(f"h{k}_{w}") for k in range(depth) for w in (0, 1)
     ]
     kind = fields[0].dataType.simpleString()
