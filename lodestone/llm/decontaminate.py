@@ -8,13 +8,16 @@ are written as rows of a Parquet table in the shared folder.  The index is
 sharded by document, so neither building nor asking it shuffles texts or
 postings, and a frequent term costs each segment only its own share.
 
-``phrase_hits`` asks every segment for every benchmark window: the lists of the
-window's terms, rarest in that segment first, are shifted by the term's offset
-and intersected.  ``proximity_matches`` does the same with a tolerance.
+``phrase_hits`` asks every segment for all benchmark windows at once: windows
+with a term that the segment lacks are out; of each other one the list of the
+term that is rarest in that segment gives the candidates, shifted by the term's
+offset, and the lists of the further terms, in order of rarity, are intersected
+with them.  ``proximity_matches`` does the same with a tolerance.
 
-The benchmark is asked in blocks of ``BLOCK_CHARS`` characters, so that each
-broadcast has a proven bound; hits of several blocks are merged by segment and
-place in it, so by input row.
+The benchmark is asked in blocks of ``BLOCK_CHARS`` characters, cut by running
+length, an item longer than that between its windows, so that each broadcast has
+a proven bound; hits of several blocks are merged by segment and place in it, so
+by input row.
 
 Defined results: null and empty texts have no words and are never hit; an item
 without words matches nothing; windows of an item with a null id count in n_hit,
@@ -35,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import fitting, materialize, slices, trimmed
 
 WINDOW = 13
 SEGMENT_WORDS = 1_000_000
 BLOCK_CHARS = 4_000_000
+#: Windows that are asked together, and candidate places that are looked at together, about.
+WINDOWS, PLACES = 100_000, 1_000_000
 
 #: Lower-cases A-Z and turns \x00-\x2F, \x3A-\x60 (A-Z aside) and \x7B-\x7F into a space.
 _WORD_BYTES = bytes(
@@ -120,38 +125,53 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
         if seg.ids:
             yield pa.RecordBatch.from_pylist([seg.row()], schema=_INDEX_ARROW)
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(segments, INDEX_SCHEMA), "postings")
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(segments), INDEX_SCHEMA), "postings")
 
 
 class _Postings:
-    """A segment read back: term -> ascending positions."""
+    """A segment read back: the ascending positions of the terms that ``number``
+    numbers, in one array in order of (number, position)."""
 
-    def __init__(self, row: dict, only: set[bytes]) -> None:
+    def __init__(self, row: dict, number: dict[bytes, int]) -> None:
         terms = row["terms"].split(b" ") if row["terms"] else []
         counts = np.frombuffer(row["term_counts"], np.uint32).astype(np.int64)
         ends = np.cumsum(counts)
         steps = np.frombuffer(row["steps"], np.uint32)
-        self.lists = {
-            t: np.cumsum(steps[ends[k] - counts[k] : ends[k]], dtype=np.int64) for k, t in enumerate(terms) if t in only
-        }
+        own = sorted((number[t], k) for k, t in enumerate(terms) if t in number)
+        self.lists = {n: np.cumsum(steps[ends[k] - counts[k] : ends[k]], dtype=np.int64) for n, k in own}
+        self.often = np.zeros(len(number), np.int64)
+        self.first = np.zeros(len(number), np.int64)
+        for n, at in self.lists.items():
+            self.often[n] = len(at)
+        self.first[1:] = np.cumsum(self.often)[:-1]
+        self.all = np.concatenate([(n << 40) | at for n, at in self.lists.items()]) if own else np.empty(0, np.int64)
         self.starts = np.asarray(row["doc_starts"], np.int64)
 
-    def phrase(self, words: tuple[bytes, ...]) -> np.ndarray:
-        """Start positions of an exact phrase."""
-        found = [(self.lists.get(w), k) for k, w in enumerate(words)]
-        if any(x is None for x, _ in found):
-            return np.empty(0, np.int64)
-        found.sort(key=lambda x: len(x[0]))
-        at = found[0][0] - found[0][1]
-        for where, k in found[1:]:
-            if not len(at):
-                break
-            want = at + k
-            ix = np.searchsorted(where, want)
-            at = at[where[np.minimum(ix, len(where) - 1)] == want]
-        return at
-
-    def near(self, words: tuple[bytes, ...], slop: int) -> np.ndarray:
+    def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``windows`` (of term numbers) that occur, and where each begins."""
+        often = self.often[windows]
+        here = np.flatnonzero((often > 0).all(axis=1))
+        order = np.argsort(often[here], axis=1, kind="stable")
+        many = often[here, order[:, 0]]
+        low = 0
+        while low < len(here):
+            high = max(low + 1, int(np.searchsorted(np.cumsum(many[low:]), PLACES, "right")) + low)
+            n = many[low:high]
+            of = np.repeat(np.arange(low, high), n)
+            k = order[of, 0]
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.first[windows[here[of], k]]
+            at = (self.all[at] & ((1 << 40) - 1)) - k
+            for r in range(1, windows.shape[1]):
+                k = order[of, r]
+                want = (windows[here[of], k].astype(np.int64) << 40) | np.maximum(at + k, 0)
+                hit = (self.all[np.minimum(np.searchsorted(self.all, want), len(self.all) - 1)] == want) & (at >= 0)
+                of, at = of[hit], at[hit]
+                if not len(of):
+                    break
+            yield here[of], at
+            low = high
+
+    def near(self, words: list[int], slop: int) -> np.ndarray:
         """Positions of the rarest term that have each other term within ``slop``
         words of where the phrase would put it."""
         found = [(self.lists.get(w), k) for k, w in enumerate(words)]
@@ -169,22 +189,41 @@ class _Postings:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def _blocks(benchmark: DataFrame, id_col: str, block_chars: int) -> Iterator[list[tuple]]:
-    """The items, in blocks of about ``block_chars`` characters at most."""
+def _blocks(benchmark: DataFrame, id_col: str, window: int, block_chars: int) -> Iterator[list[tuple]]:
+    """The items, as (id, words), in blocks of about ``block_chars`` characters; a
+    longer item is several, which share ``window`` - 1 words."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), "text").dropna(subset=["text"])
-    total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = -(-total // block_chars) or 1
-    for k in range(n):
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], words_of(r["text"])) for r in own.toLocalIterator()]
-
-
-def _windows(block: list[tuple], size: int) -> list[tuple[tuple[bytes, ...], list[str]]]:
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, words in block:
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(tuple(words[k : k + size]), set()).update([] if item is None else [item])
-    return [(w, sorted(items)) for w, items in found.items()]
+    held, size = [], 0
+    for r in items.toLocalIterator():
+        words = words_of(r["text"])
+        low = 0
+        while low < len(words):
+            high, chars = low, 0
+            while high < len(words) and (chars < block_chars or high - low < window):
+                chars += len(words[high]) + 1
+                high += 1
+            if held and size + chars > block_chars:
+                yield held
+                held, size = [], 0
+            held.append((r["item"], words[low:high]))
+            size += chars
+            low = high if high == len(words) else high - window + 1
+    yield held
+
+
+def _numbered(block: list[tuple]) -> tuple[dict[bytes, int], list[tuple]]:
+    """The block's terms, numbered, and its items as (id, term numbers)."""
+    number: dict[bytes, int] = {}
+    return number, [(item, np.array([number.setdefault(w, len(number)) for w in words], np.int32)) for item, words in block]
+
+
+def _windows(items: list[tuple], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the windows, rows of term numbers, and the item of each."""
+    by: dict[int, list] = {}
+    for k, (_, words) in enumerate(items):
+        rows = np.lib.stride_tricks.sliding_window_view(words, min(size, len(words)))
+        by.setdefault(rows.shape[1], []).append((rows, np.full(len(rows), k)))
+    return [(np.concatenate([r for r, _ in x]), np.concatenate([o for _, o in x])) for x in by.values()]
 
 
 _HITS = "segment string, doc_id long, seg_doc int, n_words int, spans array<int>, items array<string>"
@@ -198,43 +237,46 @@ def phrase_hits(index: DataFrame, benchmark: DataFrame, *, id_col: str = "item_i
     occurrence of a window) and ``items`` (sorted ids of the items that occur)."""
     spark = index.sparkSession
     parts = []
-    for block in _blocks(benchmark, id_col, block_chars):
-        sent = spark.sparkContext.broadcast(_windows(block, window))
+    for block in _blocks(benchmark, id_col, window, block_chars):
+        sent = spark.sparkContext.broadcast(_numbered(block))
 
         def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            asked = sent.value
-            vocabulary = {w for words, _ in asked for w in words}
+            number, asked = sent.value
+            windows = _windows(asked, window)
             for batch in batches:
                 for one in slices(batch, 1):
                     row = one.to_pylist()[0]
-                    post = _Postings(row, vocabulary)
-                    spans: dict[int, list[np.ndarray]] = {}
-                    items: dict[int, set[str]] = {}
-                    for words, names in asked:
-                        at = post.phrase(words)
-                        if len(at):
-                            docs = post.doc_of(at)
-                            local = at - post.starts[docs]
-                            cuts = np.flatnonzero(np.diff(docs)) + 1
-                            for d, a in zip(docs[np.concatenate([[0], cuts])], np.split(local, cuts), strict=True):
-                                spans.setdefault(int(d), []).append(np.stack([a, a + len(words)], 1))
-                                items.setdefault(int(d), set()).update(names)
+                    post = _Postings(row, number)
+                    found = [np.empty((3, 0), np.int64)]
+                    for rows, owner in windows:
+                        for low in range(0, len(rows), WINDOWS):
+                            for of, at in post.phrases(rows[low : low + WINDOWS]):
+                                found.append(np.stack([at, np.full(len(at), rows.shape[1]), owner[low + of]]))
+                    at, size, owner = np.concatenate(found, axis=1)
+                    docs = post.doc_of(at)
+                    order = np.argsort(docs, kind="stable")
+                    docs, local, size, owner = docs[order], (at - post.starts[docs])[order] if len(at) else at, size[order], owner[order]
+                    spans: dict[int, list[int]] = {}
+                    items: dict[int, list[str]] = {}
+                    for x in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(docs)) + 1) if len(docs) else ():
+                        spans[int(docs[x[0]])] = _union(np.stack([local[x], local[x] + size[x]], 1))
+                        items[int(docs[x[0]])] = sorted({asked[k][0] for k in np.unique(owner[x])} - {None})
                     ids, sizes = row["doc_ids"], row["n_words"]
-                    for at in range(0, len(ids), 4096):
-                        ks = range(at, min(at + 4096, len(ids)))
+                    for low in range(0, len(ids), 4096):
+                        ks = range(low, min(low + 4096, len(ids)))
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "segment": [row["segment"]] * len(ks),
                                 "doc_id": [ids[k] for k in ks],
                                 "seg_doc": list(ks),
                                 "n_words": [sizes[k] for k in ks],
-                                "spans": [_union(spans[k]) if k in spans else [] for k in ks],
-                                "items": [sorted(items.get(k, ())) for k in ks],
+                                "spans": [spans.get(k, []) for k in ks],
+                                "items": [items.get(k, []) for k in ks],
                             },
                             schema=_HITS_ARROW,
                         )
 
-        parts.append(index.mapInArrow(ask, _HITS))
+        parts.append(index.mapInArrow(trimmed(ask), _HITS))
     hits = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
@@ -250,9 +292,8 @@ def phrase_hits(index: DataFrame, benchmark: DataFrame, *, id_col: str = "item_i
     return hits.select("doc_id", F.col("n_words").cast("long").alias("n_words"), length.alias("n_hit"), "items")
 
 
-def _union(spans: list[np.ndarray]) -> list[int]:
-    """Disjoint ascending spans, flat: start, end, start, end ..."""
-    s = np.concatenate(spans)
+def _union(s: np.ndarray) -> list[int]:
+    """Rows of start and end as disjoint ascending spans, flat: start, end, start, end ..."""
     s = s[np.argsort(s[:, 0], kind="stable")]
     reach = np.maximum.accumulate(s[:, 1])
     new = np.concatenate([[True], s[1:, 0] > reach[:-1]])
@@ -282,16 +323,15 @@ def _union_column():
 def proximity_matches(index: DataFrame, phrases: list[tuple[str, str]], slop: int) -> DataFrame:
     """Rows ``phrase_id, doc_id, position``: places of each phrase's rarest term
     with all other terms within ``slop`` words of their place in the phrase."""
-    asked = [(name, tuple(words_of(text))) for name, text in phrases]
-    asked = [(n, w) for n, w in asked if w]
+    number, items = _numbered([(name, words) for name, text in phrases if (words := words_of(text))])
+    asked = [(name, words.tolist()) for name, words in items]
     schema = _arrow_schema(phrase_id=pa.string(), doc_id=pa.int64(), position=pa.int32())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = {w for _, words in asked for w in words}
         for batch in batches:
             for one in slices(batch, 1):
                 row = one.to_pylist()[0]
-                post = _Postings(row, vocabulary)
+                post = _Postings(row, number)
                 ids = np.asarray(row["doc_ids"], np.int64)
                 ends = post.starts + np.asarray(row["n_words"], np.int64)
                 for name, words in asked:
@@ -320,8 +360,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents, columns unchanged.  Rows that
     share a doc_id go together; rows with a null doc_id stay."""
-    bad = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = materialize(contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(fitting(bad, bad.count()), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def item_digest(items: list[str]) -> str:
