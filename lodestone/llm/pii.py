@@ -21,7 +21,7 @@ so long runs take linear time; the spans are those of the plain patterns.
 
 Defined results: null and empty texts have no spans; repeated rows are judged
 one by one; an empty table gives an empty result; other columns pass through
-``redact`` untouched.
+``redact`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -334,15 +334,17 @@ def report(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("__pii_base", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
     return out.select(
-        "doc_id", *[count(k) for k in BASE], F.sha2(_shown(F.col("__pii_base")), 256).alias("base_sha256"), _shown(F.col("__pii_spans")).alias("spans")
+        "doc_id", *[count(k) for k in BASE], F.sha2(_shown(F.col("__pii_base")), 256).alias("base_sha256"), _shown(F.col("__pii_spans")).alias("spans"),
+        F.size("__pii_spans").cast("long").alias("n_spans"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets."""
-    found = find(docs, learn(docs.sparkSession), text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
+    found = find(rows, learn(docs.sparkSession), "t")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col(f"`{text}`")
+    t = F.col("t")
     # overlapping spans: what an earlier one covers is not shown again
     pieces = F.aggregate(
         F.col("__pii_spans"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
@@ -354,4 +356,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, s["at"] + 1, F.char_length(t))),
     )
     changed = F.when(F.size("__pii_spans") > 0, pieces).otherwise(t)
-    return found.withColumn("__pii_new", changed).select(*[F.col("__pii_new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn("new", changed).select(*[F.col("new").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

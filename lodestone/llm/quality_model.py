@@ -13,9 +13,12 @@ training documents and tell grades apart (largest chi-square first) keep a
 weight, so unseen words say nothing.
 
 Defined results: null and empty texts have no words and only measures of form;
-without labels every document has tail probability 1 and is kept; repeated rows
-are scored one by one; an empty table gives an empty result; only doc_id, text
-and the labels' doc_id, quality and toxic are read.
+without labels every document has tail probability 1 and is kept; labels with a
+null are not learned from, of several labels of one document the lowest grade
+counts, and of several rows with its doc_id one is learned from (the least in
+order of its slots); repeated rows are scored one by one; an empty table gives
+an empty result; only doc_id, text and the labels' doc_id, quality and toxic are
+read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, slices
+from .common import ASCII_LOWER, slices, trimmed
 
 MAX_LABELLED, VALIDATE, MIN_DOCS = 8_000, 20, 3
 SLOT_BITS, KEPT_SLOTS, STEPS, RATE, L2 = 18, 4_096, 400, 0.05, 1e-4
@@ -37,7 +40,7 @@ GRADES = 3
 class Hasher:
     """Texts to arrays of distinct slots."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self) -> None:
         from xxhash import xxh32_intdigest
@@ -66,7 +69,24 @@ class Hasher:
             ("upper", min(9, int(10 * upper / max(1, len(raw) - n)))), ("bangs", min(5, int(3 * raw.count(b"!") / n))),
         )
         out.update(self.digest(f"\0{name}={v}".encode()) & mask for name, v in form)
-        return np.fromiter(out, np.int64, len(out))
+        return np.sort(np.fromiter(out, np.int64, len(out)))
+
+
+def likelihood(params: np.ndarray, at: np.ndarray, which: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log-likelihood and its gradient.
+
+    params: weights, the lower threshold, the logarithm of the gap to the upper
+    one; document ``which[k]`` has slot ``at[k]``."""
+    n, w, low, gap = len(grades), params[:-2], params[-2], np.exp(params[-1])
+    s = np.bincount(which, w[at], n)
+    p = [np.ones(n), *(1 / (1 + np.exp(-np.clip(s - t, -30, 30))) for t in (low, low + gap)), np.zeros(n)]
+    prob = np.maximum(np.choose(grades, [p[g] - p[g + 1] for g in range(GRADES)]), 1e-9)
+    # each tail P(grade >= j) enters the probability of grade j with +, of j - 1 with -
+    by_tail = [((grades == j).astype(float) - (grades == j - 1)) / prob * p[j] * (1 - p[j]) for j in (1, 2)]
+    ds = -(by_tail[0] + by_tail[1])
+    d_low, d_up = by_tail[0].sum(), by_tail[1].sum()
+    grad = np.concatenate([np.bincount(at, ds[which], len(w)) / n + L2 * w, [(d_low + d_up) / n, gap * d_up / n]])
+    return float(-np.log(prob).mean() + L2 / 2 * (w @ w)), grad
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,23 +115,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndar
     params = np.concatenate([np.zeros(len(slots)), [theta[0], np.log(max(theta[1] - theta[0], 0.1))]])
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
-        w, low = params[:-2], params[-2]
-        gap = np.exp(params[-1])
-        s = np.bincount(which, w[at], n)
-        p = [1.0, *(1 / (1 + np.exp(-np.clip(s - t, -30, 30))) for t in (low, low + gap)), 0.0]
-        ds, dlow, dgap = np.zeros(n), 0.0, 0.0
-        for g in range(GRADES):
-            of = grades == g
-            prob = np.maximum((p[g] - p[g + 1]) if g else 1 - p[1], 1e-9)
-            d_hi = p[g] * (1 - p[g]) if g else 0.0
-            d_lo = p[g + 1] * (1 - p[g + 1]) if g < GRADES - 1 else 0.0
-            ds -= np.where(of, (d_hi - d_lo) / prob, 0)
-            for j, d in ((g, -d_hi), (g + 1, d_lo)):  # effect of threshold j on the probability
-                total = -np.where(of, d / prob, 0).sum() if np.ndim(d) else 0.0
-                if 1 <= j <= GRADES - 1:
-                    dlow += total
-                    dgap += total * gap * (j == 2)
-        grad = np.concatenate([np.bincount(at, ds[which], len(slots)) / n + L2 * w, [dlow / n, dgap / n]])
+        _, grad = likelihood(params, at, which, grades)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return slots, params[:-2], np.array([params[-2], params[-2] + np.exp(params[-1])])
@@ -120,9 +124,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndar
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> dict:
     """slots, weights, thresholds and held-out accuracy; a bounded model."""
     picked = (
-        labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"])
+        labels.select("doc_id", "quality", "toxic").dropna()
+        .groupBy("doc_id").agg(F.min(F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)).alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-        .select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).alias("grade"))
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
     schema = "doc_id long, grade int, slots array<long>"
@@ -155,8 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
             schema=pa.schema([("slots", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("theta", pa.list_(pa.float64())), ("accuracy", pa.float64())]),
         )
 
-    one = rows.mapInArrow(hashed, schema).repartition(1)
-    return one.mapInArrow(fitted, "slots array<long>, weights array<double>, theta array<double>, accuracy double").first().asDict()
+    # one row for each label, so that the bound on labels is one on rows
+    one = rows.mapInArrow(trimmed(hashed), schema).groupBy("doc_id").agg(F.min(F.struct("grade", "slots")).alias("x")).select("doc_id", "x.grade", "x.slots").repartition(1)
+    return one.mapInArrow(trimmed(fitted), "slots array<long>, weights array<double>, theta array<double>, accuracy double").first().asDict()
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -179,7 +184,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, expected_grade double, tail_probability double, p_toxic double, kept boolean"
+        trimmed(run), "doc_id long, expected_grade double, tail_probability double, p_toxic double, kept boolean"
     )
 
 

@@ -9,7 +9,9 @@ FOIL gain on two thirds of the labelled rows and pruned on the other third.
 
 Defined results: null and empty texts have no words (all measures 0);
 repeated rows are judged one by one; an empty table gives an empty result; with
-no labels the list is empty and only the base test rejects; columns other than
+no labels the list is empty and only the base test rejects; labels without a
+doc_id or quality are not learned from, of several labels of one document the
+worst counts, and every row with that doc_id is learned from; columns other than
 ``doc_id`` and ``text`` pass through unread, whatever their names.
 """
 
@@ -30,7 +32,6 @@ MAX_LABELLED = 20_000
 CUTS = (0.002, 0.02, 0.5, 0.98, 0.998)
 BAD_ENDS = (0.95, 0.05)
 FEATURES = ("mean_word_len", "symbols_per_word", "bangs_per_word", "dup_line_frac", "repeat_frac", "upper_frac")
-_PREFIX = "__qr_"
 
 
 def _let(value: Column, body) -> Column:
@@ -78,15 +79,15 @@ def _repeated_words(words: Column, n: Column) -> Column:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """``docs`` plus one struct column ``__qr_f`` of the measures of each text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_remove(F.split(text, WS + "+"), "")
-    out = docs.withColumn(_PREFIX + "w", words)
-    w = F.col(_PREFIX + "w")
+    """``row``, a struct of the columns of ``docs``, and ``f``, a struct of the
+    measures of its text: no column of theirs can meet one of ours."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    text, w = F.col("t"), F.col("w")
+    out = out.withColumn("w", F.array_remove(F.split(text, WS + "+"), ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     line_counts = _let(lines, lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")))
     out = out.withColumns({
-        _PREFIX + "m": F.struct(
+        "m": F.struct(
             F.size(w).alias("n_words"),
             F.char_length(F.array_join(w, "")).alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias("n_symbols"),
@@ -95,11 +96,11 @@ def text_features(docs: DataFrame) -> DataFrame:
             line_counts.alias("lines"),
             _repeated_words(w, F.size(w)).alias("n_repeat_words"),
         )
-    }).drop(_PREFIX + "w")
-    m = F.col(_PREFIX + "m")
+    }).drop("t", "w")
+    m = F.col("m")
     per_word = F.greatest(m["n_words"], F.lit(1)).cast("double")
     return out.withColumn(
-        _PREFIX + "f",
+        "f",
         F.struct(
             m["n_words"].cast("long").alias("n_words"),
             m["word_chars"].cast("long").alias("word_chars"),
@@ -114,7 +115,7 @@ def text_features(docs: DataFrame) -> DataFrame:
             (m["n_repeat_words"] / per_word).alias("repeat_frac"),
             (m["n_upper"] / F.greatest(m["word_chars"], F.lit(1))).alias("upper_frac"),
         ),
-    ).drop(_PREFIX + "m")
+    ).drop("m")
 
 
 @dataclass(frozen=True)
@@ -219,13 +220,13 @@ def learn_rules(
     most ``max_labelled``.
     """
     picked = (
-        labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
+        labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    f = F.col(_PREFIX + "f")
+    f = F.col("f")
     seen = (
         text_features(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
-        .select("doc_id", "quality", *[f[x].alias(x) for x in FEATURES])
+        .select("row.doc_id", "row.quality", *[f[x].alias(x) for x in FEATURES])
         .persist()
     )
     try:
@@ -255,11 +256,11 @@ def learn_rules(
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` plus ``__qr_f``, ``__qr_rule`` (first rule that fires) and ``__qr_kept``."""
+    """``row`` and ``f`` of each document, ``rule`` (number of the first that fires) and ``kept``."""
     out = text_features(docs)
-    f = F.col(_PREFIX + "f")
-    out = out.withColumn(_PREFIX + "rule", rules.reject_rule(f))
-    return out.withColumn(_PREFIX + "kept", ~f["base_failed"] & F.col(_PREFIX + "rule").isNull())
+    f = F.col("f")
+    out = out.withColumn("rule", rules.reject_rule(f))
+    return out.withColumn("kept", ~f["base_failed"] & F.col("rule").isNull())
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,12 +268,12 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = judge(docs, learn_rules(docs, labels))
     # A deterministic filter would be pushed below the projections that hold the
     # measures and would evaluate the split words once per word.
-    judged = judged.withColumn(_PREFIX + "kept", F.col(_PREFIX + "kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.filter(_PREFIX + "kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.filter("kept").select("row.*")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = judge(docs.select("doc_id", "text"), learn_rules(docs, labels))
-    f = F.col(_PREFIX + "f")
+    f = F.col("f")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return judged.select("doc_id", *[f[x].alias(x) for x in names], F.col(_PREFIX + "rule").alias("rule"), F.col(_PREFIX + "kept").alias("kept"))
+    return judged.select("row.doc_id", *[f[x].alias(x) for x in names], "rule", "kept")
