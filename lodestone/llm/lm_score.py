@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, slices
+from .common import ASCII_LOWER, discard, materialize, slices, trimmed
 
 DEPTH, MAX_STRINGS, HOT = 5, 400_000, 100_000
 #: Bytes of the contexts that subtrees hang from.
@@ -143,7 +143,7 @@ def _count_strings(docs: DataFrame, depth: int) -> DataFrame:
                 merge(ready, learned)
         yield from out()
 
-    return docs.mapInArrow(run, "key long, n long, m long")
+    return docs.mapInArrow(trimmed(run), "key long, n long, m long")
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -350,13 +350,13 @@ def _subtrees(strings: DataFrame, depth: int, split: int) -> DataFrame:
             yield weigh(parts)
 
     floats = "array<double>"
-    return dealt.mapInArrow(run, f"top long, keys array<long>, m array<long>, says array<float>, nodes array<long>, zeros {floats}, ones {floats}, pw {floats}")
+    return dealt.mapInArrow(trimmed(run), f"top long, keys array<long>, m array<long>, says array<float>, nodes array<long>, zeros {floats}, ones {floats}, pw {floats}")
 
 
-def _above(nodes: DataFrame, split: int) -> DataFrame:
+def _above(nodes: DataFrame, split: int) -> tuple[DataFrame, list[DataFrame]]:
     """key, reach, spent, above of the nodes (key, zeros, ones, pw) at ``split``:
     the weight that reaches the node, what shallower ones have said of a one, and
-    the probability of a one as far as seen above it."""
+    the probability of a one as far as seen above it; and the tables it reads."""
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +382,7 @@ def _above(nodes: DataFrame, split: int) -> DataFrame:
         )
         up = F.broadcast(up) if d <= 2 else up  # 255 or 65,280 rows at most
         here = levels[split - d].withColumn("up", parent(d - 1)).join(up, "up").drop("up")
-    return here.select("key", "reach", "spent", "above")
+    return here.select("key", "reach", "spent", "above"), levels[1:]
 
 
 def learn(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
@@ -392,7 +392,7 @@ def learn(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     split = min(SPLIT, depth)
     trees = materialize(_subtrees(_count_strings(docs.select("doc_id", "text"), depth), depth, split), "subtrees")
     nodes = trees.select(F.explode(F.arrays_zip("nodes", "zeros", "ones", "pw")).alias("x")).select(F.col("x.nodes").alias("key"), "x.zeros", "x.ones", "x.pw")
-    above = _above(nodes, split)
+    above, levels = _above(nodes, split)
     packed = above.groupBy(F.shiftrightunsigned("key", 8).alias("top")).agg(F.collect_list(F.struct("key", "reach", "spent", "above")).alias("x"))
     packed = packed.select("top", *(F.col(f"x.{c}").alias(c) for c in ("key", "reach", "spent", "above")))
     both = trees.select("top", "keys", "m", "says").join(packed, "top").drop("top")
@@ -413,7 +413,9 @@ def learn(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
                     p += np.log10(np.maximum(np.where(np.isnan(says[:, b]), np.where(one, above[at], 1 - above[at]), said), 1e-12))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(m), pa.array(p)], names=["key", "m", "p"])
 
-    return materialize(both.mapInArrow(finish, "key long, m long, p double"), "strings")
+    strings = materialize(both.mapInArrow(trimmed(finish), "key long, m long, p double"), "strings")
+    discard(trees, *levels)
+    return strings
 
 
 def _frequent(strings: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -454,12 +456,12 @@ def _count_words(docs: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(trimmed(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot: int = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
-    bits_per_byte (the model's code length)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    score_per_token and bits_per_byte (the model's code length)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counts = materialize(_count_words(docs), "words")
@@ -535,7 +537,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot:
         if ready := chunks.take():
             yield out(ready)
 
-    scored = materialize(docs.mapInArrow(run, schema), "scored")
+    scored = materialize(docs.mapInArrow(trimmed(run), schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     rest = (
         rare.join(counts, "word", "left")
@@ -554,5 +556,6 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot:
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
         "score",
+        (F.col("score") / F.col("n_tokens")).alias("score_per_token"),
         (-F.col("score") * float(np.log2(10)) / F.col("bytes")).alias("bits_per_byte"),
     )
