@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import arith
 from ..plans import predicate
+from ..sources import storage
 
 
 def select(df: DataFrame, cnf: str) -> DataFrame:
@@ -56,31 +56,28 @@ def group_total(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.groupBy(*names).agg(F.sum(column).alias("sum")).select("sum", *names)
 
 
-def all_attributes(df: DataFrame) -> list[str]:
-    """Sort keys over everything: integers, then doubles, then strings."""
-    order = {"int": 0, "double": 1}
-    return sorted(df.columns, key=lambda c: order.get(arith.family(df.schema[c].dataType), 2))
-
-
 def sort(df: DataFrame, spec: str | None = None) -> DataFrame:
-    keys = all_attributes(df) if spec is None else predicate.sort_keys(spec, df)
+    keys = predicate.all_attributes(df) if spec is None else predicate.sort_keys(spec, df)
     return df.orderBy(*[F.col(f"`{k}`").asc() for k in keys])
 
 
 def with_position(df: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
     """Each row's place in the order, from 1, without one task seeing all rows:
-    range partitions, a place within each, and prefix sums of their sizes."""
+    range partitions, sorted and written, and prefix sums of their sizes."""
     order = [F.col(f"`{k}`").asc() for k in keys]
-    part = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    spark, path = df.sparkSession, storage.scratch(df.sparkSession, "positions")
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    rows = spark.read.schema(numbered.schema).parquet(path)
+    part = F.shiftright("__at", 33)  # the id holds the partition above the place in it
     base, at = {}, 0
-    for r in sorted(part.groupBy("__part").count().collect()):
-        base[r["__part"]] = at
+    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):
+        base[r["part"]] = at - (r["part"] << 33) + 1
         at += r["count"]
     if not base:
-        return part.withColumn(name, F.lit(None).cast("long")).drop("__part")
-    offsets = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return part.withColumn(name, (offsets[F.col("__part")] + place).cast("long")).drop("__part")
+        return rows.withColumn(name, F.lit(None).cast("long")).drop("__at")
+    offsets = F.create_map(*[F.lit(x).cast("long") for kv in base.items() for x in kv])
+    return rows.withColumn(name, F.col("__at") + offsets[part]).drop("__at")
 
 
 def format_rows(df: DataFrame) -> DataFrame:
@@ -95,3 +92,12 @@ def format_rows(df: DataFrame) -> DataFrame:
 
 def write_rows(df: DataFrame, path: str) -> None:
     format_rows(df).write.mode("overwrite").text(path)
+
+
+def print_rows(df: DataFrame) -> int:
+    """The rows on the console, a partition at a time; their number."""
+    n = 0
+    for r in format_rows(df).toLocalIterator():
+        print(r["line"])
+        n += 1
+    return n

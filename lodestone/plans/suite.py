@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relops as R
 from ..sources import catalog, storage
+from . import predicate
 from .cardinality import Statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +134,16 @@ def func_unary_minus(spark, d):
     return _rounded(R.total(T(spark, d, "lineitem"), "-l_tax + l_discount"), 4)
 
 
+@query("select cast(sum(-(l_linenumber+l_partkey)) as bigint) as sum from lineitem")
+def func_unary_minus_int(spark, d):
+    return R.total(T(spark, d, "lineitem"), "-l_linenumber + l_partkey")
+
+
+@query("select round(sum(l_tax*l_linenumber),4) as sum from lineitem")
+def func_promote_right(spark, d):
+    return _rounded(R.total(T(spark, d, "lineitem"), "l_tax * l_linenumber"), 4)
+
+
 @query("select round(sum(l_linenumber-(l_quantity/2.0)),2) as sum from lineitem")
 def func_mixed_types(spark, d):
     return _rounded(R.total(T(spark, d, "lineitem"), "l_linenumber - l_quantity / 2.0"), 2)
@@ -218,7 +229,7 @@ def sort_multi(spark, d):
 @query("select n_nationkey,n_name,n_regionkey,row_number() over (order by n_nationkey,n_regionkey,n_name) as pos from nation")
 def sort_all_attrs(spark, d):
     n = T(spark, d, "nation")
-    return R.with_position(n, R.all_attributes(n))
+    return R.with_position(n, predicate.all_attributes(n))
 
 
 @query("select concat('s_suppkey: [',s_suppkey,'], s_name: [',s_name,'], s_nationkey: [',s_nationkey,'], s_acctbal: [',printf('%f',s_acctbal),']') as line from supplier")
@@ -230,7 +241,10 @@ def writeout(spark, d):
 
 @query("select count(*) as t,count(distinct l_returnflag) as v_rf,count(distinct l_partkey) as v_pk from lineitem")
 def stat_tv(spark, d):
-    return T(spark, d, "lineitem").agg(F.count("*").alias("t"), F.count_distinct("l_returnflag").alias("v_rf"), F.count_distinct("l_partkey").alias("v_pk"))
+    stats = Statistics()
+    stats.collect("lineitem", T(spark, d, "lineitem"), ["l_returnflag", "l_partkey"])
+    r = stats.relations["lineitem"]
+    return spark.range(1).select(F.lit(r.tuples).cast("long").alias("t"), *[F.lit(r.distinct[a]).cast("long").alias(n) for n, a in (("v_rf", "l_returnflag"), ("v_pk", "l_partkey"))])
 
 
 @query("select * from supplier")
@@ -247,6 +261,40 @@ def sorted_file_scan(spark, d):
     return storage.open_table(spark, path)
 
 
+@query("select count(*) as checked, cast(0 as bigint) as errors from customer")
+def sorted_file_order(spark, d):
+    path = storage.scratch(spark, "sorted")
+    storage.create_sorted(T(spark, d, "customer"), path, "(c_nationkey) AND (c_acctbal)")
+    return storage.verify_order(spark, path)
+
+
+@query("select count(*) as checked, cast(0 as bigint) as errors from orders")
+def sorted_merge_order(spark, d):
+    path, orders = storage.scratch(spark, "merged"), T(spark, d, "orders")
+    storage.create_sorted(R.select(orders, "(o_totalprice < 250000.0)"), path, "(o_custkey) AND (o_orderkey)")
+    storage.append(orders.filter("not o_totalprice < 250000.0"), path)
+    return storage.verify_order(spark, path)
+
+
+@query("select p_partkey, p_size, p_retailprice from part where p_size < 5")
+def sort_output(spark, d):
+    return R.sort(R.project(R.select(T(spark, d, "part"), "(p_size < 5)"), [0, 4, 5]), "(p_retailprice) AND (p_size)")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def record_from_string(spark, d):
+    schema = catalog.schema_of("BEGIN nation nation.tbl n_nationkey Int n_name String n_regionkey Int END", "nation")
+    lines = T(spark, d, "nation").selectExpr("concat(n_nationkey, '|', n_name, '|', n_regionkey, '|') as line")
+    return lines.select(catalog.record(F.col("line"), schema).alias("r")).select("r.*")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def load_catalog_file(spark, d):
+    folder = storage.scratch(spark, "catalog")
+    catalog.write_delimited(T(spark, d, "nation"), f"{folder}/nation.tbl")
+    return catalog.load_relation(spark, "BEGIN nation nation.tbl n_nationkey Int n_name String n_regionkey Int END", "nation", folder)
+
+
 @query("select * from orders where o_orderpriority='1-URGENT' and o_totalprice<2000.0")
 def sorted_file_filter(spark, d):
     path = storage.scratch(spark, "sorted")
@@ -352,6 +400,14 @@ def stats_roundtrip(spark, d):
     return _estimates(spark, stats.estimate(text, names.split()))
 
 
+@query("select 48000.0::double as estimate")
+def stats_file(spark, d):
+    path = storage.scratch(spark, "statistics")
+    model("q8").save(spark, path)
+    text, names = _MODELS["q8"][2][-1]
+    return _estimates(spark, Statistics.load(spark, path).estimate(text, names.split()))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -31,6 +31,13 @@ def parse_catalog(text: str) -> dict[str, T.StructType]:
     return out
 
 
+def parse_files(text: str) -> dict[str, str]:
+    """The file name of each relation of a catalog."""
+    parse_catalog(text)
+    words = text.split()
+    return {words[k + 1]: words[k + 2] for k, w in enumerate(words) if w == "BEGIN"}
+
+
 def schema_of(text: str, relation: str) -> T.StructType:
     found = parse_catalog(text)
     if relation not in found:
@@ -42,9 +49,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Lines ``value|value|...|`` under a declared schema."""
-    return spark.read.schema(schema).option("sep", "|").option("quote", "").csv(path)
+def _lenient(value: Column, kind: T.DataType) -> Column:
+    """A number as far as the text begins with one, else 0."""
+    shape = r"^\s*([+-]?[0-9]+)" if isinstance(kind, T.IntegerType) else r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+    found = F.regexp_extract(F.coalesce(value, F.lit("")), shape, 1)
+    return F.when(found == "", F.lit("0")).otherwise(found).try_cast(kind)
+
+
+def load_delimited(spark: SparkSession, path: str, schema: T.StructType, *, mode: str = "PERMISSIVE", lenient: bool = False) -> DataFrame:
+    """Lines ``value|value|...|`` under a declared schema.
+
+    A field that is no number is null (mode PERMISSIVE), drops its line
+    (DROPMALFORMED) or is an error (FAILFAST); ``lenient`` reads the number that
+    it begins with, 0 if none."""
+    reader = spark.read.option("sep", "|").option("quote", "").option("mode", mode)
+    after = [T.StructField("_after", T.StringType())]  # what stands behind the last bar: nothing
+    if not lenient:
+        return reader.schema(T.StructType([*schema, *after])).csv(path).drop("_after")
+    text = reader.schema(T.StructType([*(T.StructField(f.name, T.StringType()) for f in schema), *after])).csv(path)
+    return text.select(*[(F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else _lenient(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in schema])
+
+
+def load_relation(spark: SparkSession, text: str, relation: str, folder: str, **options) -> DataFrame:
+    """A relation from the file that the catalog names, in ``folder``."""
+    return load_delimited(spark, f"{folder}/{parse_files(text)[relation]}", schema_of(text, relation), **options)
 
 
 def record(line: Column, schema: T.StructType) -> Column:

@@ -109,6 +109,8 @@ def test_storage(spark):
     storage.create_heap(df, path)
     storage.append(df, path)
     assert storage.open_table(spark, path).count() == 4
+    storage.create_heap(df.limit(1), path)
+    assert storage.open_table(spark, path).count() == 1
     path = storage.scratch(spark, "t")
     storage.create_sorted(df, path, "(k)")
     storage.append(spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string"), path)
@@ -120,6 +122,89 @@ def test_storage(spark):
         catalog.parse_catalog("BEGIN r f a Date END")
 
 
+@pytest.fixture
+def many_files(spark):
+    """Small tables in as many files as there are partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_order(spark, many_files):
+    """A sorted table is in order over all its files, also after appends; the check finds what is not."""
+    path = storage.scratch(spark, "t")
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_quantity", "l_tax")
+    storage.create_sorted(items.repartition(5), path, "(l_partkey) AND (l_quantity)")
+    assert tuple(storage.verify_order(spark, path).first()) == (6000, 0)
+    assert len(storage.open_table(spark, path).inputFiles()) > 1
+    storage.append(items.limit(70), path)
+    assert tuple(storage.verify_order(spark, path).first()) == (6070, 0)
+    folder = storage._layout(spark, path)["folder"]
+    items.orderBy("l_tax").coalesce(1).write.mode("overwrite").parquet(folder)
+    assert storage.verify_order(spark, path).first()["errors"] > 1000
+    rows = relops.sort(items, "(l_quantity) AND (l_tax)").collect()
+    assert [(r.l_quantity, r.l_tax) for r in rows] == sorted((r.l_quantity, r.l_tax) for r in rows)
+    assert [r.l_partkey for r in relops.sort(items).collect()] == sorted(r.l_partkey for r in rows)
+
+
+def test_sorted_scan_skips(spark, many_files):
+    """A filter on a sorted table's key reads the row groups that may hold it, a heap's all."""
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_tax")
+    counts = {}
+    for kind, create in (("heap", storage.create_heap), ("sorted", lambda df, p: storage.create_sorted(df, p, "(l_partkey)"))):
+        path = storage.scratch(spark, kind)
+        create(items.repartition(4), path)
+        found = relops.select(storage.open_table(spark, path), "(l_partkey = 17)")
+        n = len(found.collect())
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        counts[kind] = (n, leaf.metrics().apply("numOutputRows").value())
+    assert counts["heap"][0] == counts["sorted"][0] > 0
+    assert counts["heap"][1] == 6000 and counts["sorted"][1] <= 3000
+
+
+def test_loading(spark):
+    text = "BEGIN r r.tbl a Int d Double s String END"
+    folder = storage.scratch(spark, "text")
+    spark.createDataFrame([("1|2.5|x|",), ("12ab|1e2z|y|",), ("no||z|",)], "line string").coalesce(1).write.text(f"{folder}/r.tbl")
+    schema = catalog.schema_of(text, "r")
+    assert catalog.parse_files(text) == {"r": "r.tbl"}
+    assert sorted(map(tuple, catalog.load_relation(spark, text, "r", folder, lenient=True).collect())) == [(0, 0.0, "z"), (1, 2.5, "x"), (12, 100.0, "y")]
+    loose = {r.s: (r.a, r.d) for r in catalog.load_delimited(spark, f"{folder}/r.tbl", schema).collect()}
+    assert loose == {"x": (1, 2.5), "y": (None, None), "z": (None, None)}
+    assert [r.s for r in catalog.load_delimited(spark, f"{folder}/r.tbl", schema, mode="DROPMALFORMED").collect()] == ["x"]
+    with pytest.raises(Exception):
+        catalog.load_delimited(spark, f"{folder}/r.tbl", schema, mode="FAILFAST").collect()
+    one = spark.createDataFrame([("7|0.5|q|",)], "line string")
+    assert tuple(one.select(catalog.record(one.line, schema).alias("r")).first().r) == (7, 0.5, "q")
+
+
+def test_console(spark, capsys):
+    assert relops.print_rows(spark.createDataFrame([(1, 2.5, "x")], "a int, d double, s string")) == 1
+    assert capsys.readouterr().out == "a: [1], d: [2.500000], s: [x]\n"
+
+
+def test_large_predicate(spark):
+    """More clauses and alternatives than any fixed table would hold."""
+    df = spark.range(1000).selectExpr("cast(id as int) as a")
+    text = " AND ".join("(" + " OR ".join(f"a = {30 * k + j}" for j in range(60)) + ")" for k in range(2)) + "".join(f" AND (a > {-k})" for k in range(1, 40))
+    assert relops.select(df, text).count() == 30
+
+
+def test_statistics_copies(spark):
+    stats = suite.model("q2")
+    other = stats.copy()
+    other.apply("(c_custkey = o_custkey)", ["orders", "customer"])
+    other.add_relation("more", 5)
+    assert stats.joined == [] and "more" not in stats.relations and other.joined
+    path = storage.scratch(spark, "statistics")
+    stats.save(spark, path)
+    assert Statistics.load(spark, path) == stats
+    assert "supplier" in str(suite.model("q0"))
+    both = Statistics()
+    both.collect("s", spark.read.parquet(f"{DATA}/supplier.parquet"), ["s_nationkey", "s_suppkey"], exact=False)
+    assert both.relations["s"].tuples == 10 and both.relations["s"].distinct["s_suppkey"] in range(8, 13)
+
+
 def test_stream(spark):
     path = storage.scratch(spark, "stream")
     spark.read.parquet(f"{DATA}/supplier.parquet").write.parquet(path)
