@@ -26,9 +26,9 @@ Scoring: the ``MAX_STRINGS`` most frequent strings are broadcast, which bounds
 that table and only saves work; the others are counted per document and joined
 with the table of strings, where no key is frequent.
 
-Words: the ``HOT`` most frequent are broadcast (a bounded table); the others
-are counted per document and joined with the counts by word, where no key is
-frequent.  Nothing is left out of either sum.
+Words go by 64-bit hashes.  The ``HOT`` most frequent are broadcast (a bounded
+table); the others are counted per document and joined with the counts by hash,
+where no key is frequent.  Nothing is left out of either sum.
 
 Defined results: null and empty texts are one end mark; repeated rows are
 scored one by one; with no training text at all every decision has probability
@@ -38,7 +38,6 @@ scored one by one; with no training text at all every decision has probability
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, discard, materialize, slices, trimmed
+from .shingles import by_bytes, word_hashes
 
 DEPTH, MAX_STRINGS, HOT = 5, 400_000, 100_000
 #: Bytes of the contexts that subtrees hang from.
 SPLIT = 3
 #: Bytes of text that are counted or scored at once.
 CHUNK = 2_000_000
+#: Distinct strings or words of a partition that are held before they are summed up.
+HELD = 2_000_000
 #: Strings of whole subtrees that are weighted at once, about.
 STRINGS = 500_000
 _END = 10  # the byte of the end mark; also what precedes a text
@@ -84,21 +86,8 @@ def _strings(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], sizes
 
 
-class _Chunks:
-    """Bodies in chunks of about CHUNK bytes; a longer body is a chunk itself."""
-
-    def __init__(self) -> None:
-        self.held: list = []
-        self.bytes = 0
-
-    def add(self, item, size: int) -> list | None:
-        self.held.append(item)
-        self.bytes += size
-        return self.take() if self.bytes >= CHUNK else None
-
-    def take(self) -> list:
-        out, self.held, self.bytes = self.held, [], 0
-        return out
+def _body(text: str | None) -> bytes:
+    return b" ".join(words_of(text)) + bytes([_END])
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,11 +103,8 @@ def _count_strings(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        chunks = {True: _Chunks(), False: _Chunks()}
 
-        def merge(bodies, learned):
-            keys, m = np.unique(_strings(bodies, depth)[0], return_counts=True)
-            held.append((keys, m * learned, m))
+        def merge():
             if len(held) > 1:
                 held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
@@ -130,17 +116,19 @@ def _count_strings(docs: DataFrame, depth: int) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for some in slices(batch):
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    body = b" ".join(words_of(text)) + bytes([_END])
-                    learned = not held_out(doc)
-                    if ready := chunks[learned].add(body, len(body)):
-                        merge(ready, learned)
-                        if len(held[0][0]) > 2_000_000:
-                            yield from out()
-        for learned, own in chunks.items():
-            if ready := own.take():
-                merge(ready, learned)
+            for low, high in by_bytes(batch.column(1), CHUNK):
+                both: dict[bool, list[bytes]] = {True: [], False: []}
+                for doc, text in zip(batch.column(0)[low:high].to_pylist(), batch.column(1)[low:high].to_pylist(), strict=True):
+                    both[not held_out(doc)].append(_body(text))
+                for learned, bodies in both.items():
+                    if bodies:
+                        keys, m = np.unique(_strings(bodies, depth)[0], return_counts=True)
+                        held.append((keys, m * learned, m))
+                if sum(len(x[0]) for x in held) > HELD:
+                    merge()
+                    if len(held[0][0]) > HELD // 2:
+                        yield from out()
+        merge()
         yield from out()
 
     return docs.mapInArrow(trimmed(run), "key long, n long, m long")
@@ -435,28 +423,44 @@ def _frequent(strings: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
-    """word, c: all tokens of the training texts but the end marks."""
+    """word (its hash), c: all tokens of the training texts but the end marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: list[tuple] = []
+
+        def merge():
+            if len(held) > 1:
+                held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
         def out():
-            items = list(seen.items())
-            seen.clear()
-            for at in range(0, len(items), 100_000):
-                some = items[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64())], names=["word", "c"])
+            for words, c in held:
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(c)], names=["word", "c"])
+            held.clear()
 
         for batch in batches:
-            for some in slices(batch):
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    if not held_out(doc):
-                        seen.update(words_of(text))
-                if len(seen) > 400_000:
-                    yield from out()
+            for low, high in by_bytes(batch.column(1), CHUNK):
+                words, before = word_hashes(batch.column(1)[low:high])
+                learned = np.array([not held_out(doc) for doc in batch.column(0)[low:high].to_pylist()])
+                held.append(np.unique(words[np.repeat(learned, np.diff(before))], return_counts=True))
+                if sum(len(x[0]) for x in held) > HELD:
+                    merge()
+                    if len(held[0][0]) > HELD // 2:
+                        yield from out()
+        merge()
         yield from out()
 
-    return docs.mapInArrow(trimmed(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(trimmed(run), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _by_owner(owner: np.ndarray, keys: np.ndarray, n: int, names: list[str]) -> pa.Array:
+    """For each of ``n`` owners the list of its distinct keys and how often each comes."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])])) if len(owner) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(owner))))], names=names),
+    )
 
 
 def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot: int = HOT) -> DataFrame:
@@ -469,73 +473,47 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most: int = MAX_STRINGS, hot:
     words, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     total, kinds = words + ends, distinct + (ends > 0)
     first = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()
-    hot_words = dict(zip(first.column("word").to_pylist(), first.column("c").to_pylist(), strict=True))
+    hot_words = np.asarray(first.column("word")).astype(np.int64).view(np.uint64)
+    order = np.argsort(hot_words)
+    hot_words, hot_logs = hot_words[order], np.log10(np.asarray(first.column("c")).astype(np.float64) + 0.5)[order]
     strings = learn(docs, depth=depth)
-    sent = spark.sparkContext.broadcast((_frequent(strings, most), hot_words))
+    sent = spark.sparkContext.broadcast((_frequent(strings, most), hot_words, hot_logs))
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:binary,n:long>>, cold array<struct<key:long,n:long>>"
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:long,n:long>>, cold array<struct<key:long,n:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (keys, logs), known = sent.value
-        (bits, slots, held), get = ContextTree._hash_table(keys, logs), known.get
-        end_log = float(np.log10(ends + 0.5))
+        (keys, logs), known, known_logs = sent.value
+        bits, slots, held = ContextTree._hash_table(keys, logs)
         row = TaskContext.get().partitionId() << 33
-        chunks = _Chunks()
-
-        def out(items: list) -> pa.RecordBatch:
-            nonlocal row
-            own_keys, sizes = _strings([b for _, b in items], depth)
-            at = ContextTree._slot(own_keys, bits)
-            said = held[at].astype(np.float64)
-            miss = np.flatnonzero(slots[at] != own_keys)
-            said[miss] = 0.0
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, own_keys[miss]), len(keys) - 1)
-                hit = keys[at] == own_keys[miss]
-                said[miss[hit]] = logs[at[hit]]
-                miss = miss[~hit]
-            sums = np.add.reduceat(said, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            owner = np.repeat(np.arange(len(items)), sizes)[miss]
-            order = np.lexsort((own_keys[miss], owner))
-            owner, other = owner[order], own_keys[miss][order]
-            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])) if len(owner) else np.empty(0, np.int64)
-            cold = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(owner[first], np.arange(len(items) + 1)).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array(other[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(owner))))], names=["key", "n"]),
-            )
-            columns: list[list] = [[] for _ in range(6)]
-            for doc, body in items:
-                own = body[:-1].split()
-                base, n_known, rare = end_log, int(ends > 0), []
-                for w, n in Counter(own).items():
-                    c = get(w)
-                    if c is None:
-                        rare.append({"word": w, "n": n})
-                    else:
-                        base += n * log(c + 0.5)
-                        n_known += n
-                for column, v in zip(columns, (row, doc, len(own) + 1, n_known, base, rare), strict=True):
-                    column.append(v)
-                row += 1
-            *ints, base, rare = columns
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in ints), pa.array(base, pa.float64()), pa.array(sums), pa.array(sizes, pa.int64()), pa.array(rare, rare_type), cold],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rare", "cold"],
-            )
-
-        from math import log10 as log
-
         for batch in batches:
-            for some in slices(batch):
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    body = b" ".join(words_of(text)) + bytes([_END])
-                    if ready := chunks.add((doc, body), len(body)):
-                        yield out(ready)
-        if ready := chunks.take():
-            yield out(ready)
+            for low, high in by_bytes(batch.column(1), CHUNK):
+                n, texts = high - low, batch.column(1)[low:high]
+                own_keys, sizes = _strings([_body(t) for t in texts.to_pylist()], depth)
+                at = ContextTree._slot(own_keys, bits)
+                said = held[at].astype(np.float64)
+                miss = np.flatnonzero(slots[at] != own_keys)
+                said[miss] = 0.0
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own_keys[miss]), len(keys) - 1)
+                    hit = keys[at] == own_keys[miss]
+                    said[miss[hit]] = logs[at[hit]]
+                    miss = miss[~hit]
+                sums = np.add.reduceat(said, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                words, before = word_hashes(texts)
+                many = np.diff(before)
+                owner = np.repeat(np.arange(n), many)
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1) if len(known) else np.zeros(len(words), np.int64)
+                hit = known[at] == words if len(known) else np.zeros(len(words), bool)
+                base = np.bincount(owner[hit], known_logs[at[hit]], n) + float(np.log10(ends + 0.5))
+                columns = [
+                    pa.array(np.arange(row, row + n)), batch.column(0)[low:high], pa.array(many + 1), pa.array(np.bincount(owner[hit], minlength=n) + int(ends > 0)),
+                    pa.array(base), pa.array(sums), pa.array(sizes), _by_owner(owner[~hit], words[~hit], n, ["word", "n"]),
+                    _by_owner(np.repeat(np.arange(n), sizes)[miss], own_keys[miss], n, ["key", "n"]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rare", "cold"])
+                row += n
 
     scored = materialize(docs.mapInArrow(trimmed(run), schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
