@@ -32,6 +32,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 EXAMPLES = 12_000
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.98
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
@@ -273,12 +275,15 @@ def boost(cells: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS) -
 
 
 def learn(spark: SparkSession, n: int = EXAMPLES) -> Trees:
-    made = candidates(examples(spark, n)).select("id", "s", "e", "truth", F.explode("__pii_more").alias("c")).select(
+    # written first: else the sentences' expressions stand in the plan once for each use
+    sentences = materialize(examples(spark, n), "examples")
+    made = candidates(sentences).select("id", "s", "e", "truth", F.explode("__pii_more").alias("c")).select(
         (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).alias("aside"), F.col("c.x").alias("x"), F.col("c.rank").alias("rank"),
         ((F.col("c.start") < F.col("e")) & (F.col("c.end") > F.col("s")) & (F.col("truth") == 1)
          & (2 * (F.col("c.end") - F.col("c.start")) >= F.col("e") - F.col("s"))).alias("y"),
     )
     rows = made.groupBy("aside", "x", "rank").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n")).collect()
+    discard(sentences)
     rows = sorted((r["aside"], tuple(r["x"]), r["rank"], r["p"], r["n"]) for r in rows)
     bias, trees = boost([(x, p, q) for aside, x, _, p, q in rows if not aside])
     model = Trees(trees, {}, bias)
