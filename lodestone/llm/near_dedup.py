@@ -496,19 +496,21 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     left_over = met.filter("open = 1").select(F.col("a").alias("key"), F.col("b").alias("id"), "n", "s0", "s1")
     for every in (False, True):
         rest = _mixed_lists(left_over, labels)
+        if rest.isEmpty():  # and stays so: components only grow
+            discard(rest)
+            break
         if every:
             ids = materialize(rest.select("id").distinct(), "ids")
             many = ids.count()
             counts = materialize(_counted(docs, who, ids, k), "counts")
             signed = reps.select("id", "sig").join(fitting(ids, many), "id").join(counts, "id")
-            pairs = _rest_met(rest.join(signed, "id"), sent, size, most, percent)
+            more = confirmed(_rest_met(rest.join(signed, "id"), sent, size, most, percent), docs, who, k, percent)
+            discard(ids, counts)
         else:
-            pairs = _nearest(rest, most, percent)
-        more = confirmed(pairs, docs, who, k, percent)
+            more = confirmed(_nearest(rest, most, percent), docs, who, k, percent)
         merged = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
         discard(rest, labels, more)
         labels = merged
-    discard(ids, counts)
     sent.destroy()
     # a component goes by its smallest doc_id
     of = labels.join(members.filter("row = id").select("id", "least"), "id").select("id", "comp", "least")
