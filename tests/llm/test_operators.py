@@ -2,11 +2,14 @@
 nulls, empty and long texts, ties, repeats, and clashing extra columns."""
 
 import collections
+import glob
 import hashlib
 import math
+import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -14,7 +17,7 @@ pytest.importorskip("lodestone.llm")
 
 import corpus_pipeline
 from lodestone.llm import (
-    chat, decontaminate, lm_score, near_dedup, packing, pii, quality_model, quality_rules, token_files, url_filter,
+    chat, decontaminate, lm_score, near_dedup, packing, pii, quality_model, quality_rules, queries, token_files, url_filter,
 )
 from lodestone.llm.common import scratch_path
 from lodestone.llm.tokens import CachedEncoder, default_tokenizer
@@ -636,9 +639,21 @@ def test_packing_loss_mask(spark, docs):
     assert masked.unpersist() is not None
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_oracle(spark, name):
+    duck = duckdb.connect()
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        duck.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    want = duck.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, DATA)
+    cols = sorted(df.columns)
+    assert cols == sorted(want.columns)
+    at = [want.columns.index(c) for c in cols]
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
 def test_bench_names():
     import bench
-    from lodestone.llm import queries
 
     assert {*queries.queries(), "pipeline"} <= set(bench.NAMES)
 
