@@ -54,11 +54,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    _trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _trim_driver(spark: SparkSession) -> None:
+    """Native memory that the driver's many threads have freed goes back to the
+    system (a diagnostic command of the JVM, a few milliseconds): plans of hundreds
+    of short queries leave much of it behind.  A JVM without it goes on as it is."""
+    from py4j.protocol import Py4JError
+
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = command, "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables after their last use."""
     for t in tables:
