@@ -60,7 +60,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, fitting, materialize, trimmed
+from .common import discard, fitting, materialize, trimmed
 from .components import components
 from .shingles import by_bytes, mixed, shingle_sets
 
@@ -337,15 +337,22 @@ def _met(posted: DataFrame, most: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(trimmed(meet), "a long, b long, open long, n long, s0 long, s1 long")
 
 
-def _texts(docs: DataFrame, who: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``id``) with the texts that the ids stand for."""
-    known = who.join(fitting(rows, rows.count()), "id")
+def _texts(docs: DataFrame, members: DataFrame, met: DataFrame) -> DataFrame:
+    """id, text of all classes that a pair or a list is left to try of, written: the
+    one time that the whole corpus may have to be shuffled, so that what follows
+    joins this much smaller table only."""
+    both = F.when(F.col("open") == 0, F.array("a", "b")).otherwise(F.array("b"))
+    ids = materialize(met.select(F.explode(both).alias("id")).distinct(), "ids")
+    n = ids.count()
+    known = members.filter("doc_id is not null and row = id").select("id", "doc_id", "th").join(fitting(ids, n), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return texts.join(fitting(known, rows.count()), ["doc_id", "th"])
+    out = materialize(texts.join(fitting(known, n), ["doc_id", "th"]).select("id", "text"), "texts")
+    discard(ids)
+    return out
 
 
-def _counted(docs: DataFrame, who: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, counts: the bucket counts of the sets ``ids`` stand for."""
+def _counted(texts: DataFrame, k: int) -> DataFrame:
+    """id, counts: the bucket counts of each class's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +360,7 @@ def _counted(docs: DataFrame, who: DataFrame, ids: DataFrame, k: int) -> DataFra
                 counts = [bucket_counts(s).tobytes() for s in shingle_sets(batch.column(1)[low:high], k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(counts, pa.binary())], names=["id", "counts"])
 
-    return _texts(docs, who, ids).select("id", "text").mapInArrow(trimmed(run), "id long, counts binary").dropDuplicates(["id"])
+    return texts.select("id", "text").mapInArrow(trimmed(run), "id long, counts binary").dropDuplicates(["id"])
 
 
 def _rest_met(rows: DataFrame, sent, size: int, most: int, percent: int) -> DataFrame:
@@ -395,7 +402,7 @@ def _rest_met(rows: DataFrame, sent, size: int, most: int, percent: int) -> Data
     return dealt.select("key", "part", "home", "main", "id", "comp", "n", "sig", "counts").mapInArrow(trimmed(meet), "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, who: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets meet 100 * shared >= percent * union.
 
     ``a`` is a group's leader.  Groups above ``GROUP`` members are split and the
@@ -406,7 +413,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, who: DataFrame, k: int, percent
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     members = dealt.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("member"))
     rows = materialize(members.unionByName(members.select("a", "part", F.col("a").alias("id"), F.lit(0).alias("member")).distinct()), "rows")
-    texts = _texts(docs, who, rows).select("a", "part", "id", "member", "text")
+    texts = texts.join(fitting(rows, rows.count()), "id").select("a", "part", "id", "member", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leader = None, None
@@ -484,11 +491,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
         "members",
     )
     discard(sigs)
-    who = members.filter("doc_id is not null and row = id").select("id", "doc_id", "th")
     reps = members.filter(f"doc_id is not null and row = id and n * {100 - percent} >= {percent}").select("id", "n", "sig")
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(reps))
     met = materialize(_met(_postings(reps, sent, size), most, percent), "met")
-    links = confirmed(met.filter("open = 0"), docs, who, k, percent)
+    texts = _texts(docs, members, met)
+    links = confirmed(met.filter("open = 0"), texts, k, percent)
     # classes of one doc_id belong together
     twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("doc_id is not null and a < b")
     same = members.join(twice.select("doc_id", "a"), "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -502,12 +509,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
         if every:
             ids = materialize(rest.select("id").distinct(), "ids")
             many = ids.count()
-            counts = materialize(_counted(docs, who, ids, k), "counts")
+            counts = materialize(_counted(texts.join(fitting(ids, many), "id"), k), "counts")
             signed = reps.select("id", "sig").join(fitting(ids, many), "id").join(counts, "id")
-            more = confirmed(_rest_met(rest.join(signed, "id"), sent, size, most, percent), docs, who, k, percent)
+            more = confirmed(_rest_met(rest.join(signed, "id"), sent, size, most, percent), texts, k, percent)
             discard(ids, counts)
         else:
-            more = confirmed(_nearest(rest, most, percent), docs, who, k, percent)
+            more = confirmed(_nearest(rest, most, percent), texts, k, percent)
         merged = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
         discard(rest, labels, more)
         labels = merged
@@ -515,7 +522,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     # a component goes by its smallest doc_id
     of = labels.join(members.filter("row = id").select("id", "least"), "id").select("id", "comp", "least")
     named = materialize(of.join(of.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component"), "named")
-    discard(met, links, labels)
+    discard(met, links, labels, texts)
     out = members.select("doc_id", "n", "id", "least").join(named, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
