@@ -260,16 +260,15 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     out = text_features(docs)
     f = F.col("f")
     out = out.withColumn("rule", rules.reject_rule(f))
-    return out.withColumn("kept", ~f["base_failed"] & F.col("rule").isNull())
+    # A filter on what is deterministic would be pushed below the projections that
+    # hold the measures and would evaluate the split words once per word.
+    guard = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", ~f["base_failed"] & F.col("rule").isNull() & guard)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the base test and the learned list accept, columns unchanged."""
-    judged = judge(docs, learn_rules(docs, labels))
-    # A deterministic filter would be pushed below the projections that hold the
-    # measures and would evaluate the split words once per word.
-    judged = judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.filter("kept").select("row.*")
+    return judge(docs, learn_rules(docs, labels)).filter("kept").select("row.*")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
