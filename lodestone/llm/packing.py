@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, trimmed
-from .tokens import default_tokenizer, encoder
+from .tokens import CachedEncoder, default_tokenizer
 
 #: A sequence attends to each of its segments apart, which bounds their number.
 MAX_TOKENS, MAX_SEGMENTS, OPEN_SEQUENCES = 4096, 8, 64
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, packer = encoder(tokenizer, end_id), Packer(**limits)
+        coder, packer = CachedEncoder(tokenizer, end_id), Packer(**limits)
         number = TaskContext.get().partitionId() << 32
 
         def rows(sequences: list[list[Piece]]) -> pa.RecordBatch:

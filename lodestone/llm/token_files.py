@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, slices, trimmed
 from .files import Mapped, read_file, writer
-from .tokens import default_tokenizer, encoder
+from .tokens import CachedEncoder, default_tokenizer
 
 _NULL_ID = -(1 << 63)
 #: Documents whose ids are read at once.
@@ -51,7 +51,7 @@ def write_store(docs: DataFrame, url: str, *, tokenizer: str | None = None, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = encoder(tokenizer, end_id)
+        coder = CachedEncoder(tokenizer, end_id)
         kind = np.dtype("<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"

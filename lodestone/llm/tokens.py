@@ -5,8 +5,8 @@ it, so the ids of a text are the ids of its pieces between spaces and newlines.
 ``CachedEncoder`` hashes all pieces of a chunk at once (64 bits) and looks them
 up in a table of fixed size; only pieces that are not there go to the library,
 each distinct one once, and the ids of whole texts are gathered by array
-operations.  A worker keeps its encoder from task to task.  A piece of plain
-letters, with punctuation behind it or not, is one word to the pre-tokenizer and
+operations.  An encoder lives as long as its task, so that a worker holds no
+memory for it in other stages.  A piece of plain letters, with punctuation behind it or not, is one word to the pre-tokenizer and
 goes straight to the library's merge model; any other piece takes the library's
 whole path.  Where a tokenizer's own settings do not allow that, every piece
 does.  ``tests/llm`` compares the result with encoding whole texts.
@@ -19,7 +19,6 @@ import os
 import re
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +139,3 @@ class CachedEncoder:
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         return [x for low, high in by_bytes(texts, self.CHUNK) for x in self._chunk(texts[low:high])]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, end_id: int) -> CachedEncoder:
-    """The worker's own encoder."""
-    return CachedEncoder(path, end_id)
