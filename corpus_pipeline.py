@@ -40,8 +40,9 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    """Pieces of the texts in sequences of at most 4096 tokens; written here, so that
+    texts go to the workers in the batches that ``materialize`` bounds."""
+    return materialize(packing.pack(docs), "pieces")
 
 
 STAGES = [

@@ -19,7 +19,12 @@ WS = r"[\x20\x09-\x0D]"
 #: Rows of a few integers each that may be broadcast; beyond, a shuffle join.
 BROADCAST_ROWS = 200_000
 
+#: Bytes that go to a Python worker at once, about: by Spark's own bound (64 MB) a whole
+#: split of texts is one Arrow batch, which the JVM and the worker hold several times over.
+BATCH_BYTES = 4 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: str | None = None
 
 
@@ -45,15 +50,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a written table: a lost executor costs a re-read only.
-    What was shuffled to make it is of no use any more and goes at once."""
+    What was shuffled to make it is of no use any more and goes at once.  Python
+    workers get batches of ``BATCH_BYTES``, unless the session sets a bound itself."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
+    before, own = spark.conf.get(_CLEANUP, "false"), spark.conf.get(_BATCH, None)
     spark.conf.set(_CLEANUP, "true")
+    if own is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+        if own is None:
+            spark.conf.unset(_BATCH)
     _trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -842,3 +842,27 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
         docs, n = out, out.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == n
+
+
+def test_batches_are_bounded_in_bytes(spark, monkeypatch):
+    """Written tables and the last stage: a split of long texts is several Arrow batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    texts = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('x', 1000000) as text")
+    monkeypatch.setattr(packing, "pack", lambda docs: docs.mapInArrow(sizes, "n long"))
+    for out in (corpus_pipeline.materialize(packing.pack(texts), "sizes"), corpus_pipeline.pack(spark, texts, DATA)):
+        got = [r.n for r in out.collect()]
+        assert sum(got) == 40 and max(got) <= 6, got
+        assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "2000000")  # a bound of the session's own holds
+    try:
+        assert max(r.n for r in corpus_pipeline.pack(spark, texts, DATA).collect()) <= 3
+        assert spark.conf.get(key, None) == "2000000"
+    finally:
+        spark.conf.unset(key)
